@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from twinframe.llm.mixing import OP10_SQL, op10_mixing
 from twinframe.llm.sharding import op5_virtual_slots
+from twinframe.llm.simhash import op6_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_virtual_slots": op5_virtual_slots,
+    "op6_simhash": op6_simhash,
     "op10_mixing": op10_mixing,
 }
 
