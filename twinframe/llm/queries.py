@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from twinframe.llm.licenses import OP3_SQL, op3_licenses
 from twinframe.llm.mixing import OP10_SQL, op10_mixing
+from twinframe.llm.neighbours import OP4_SQL, op4_block_knn
 from twinframe.llm.sharding import op5_virtual_slots
 from twinframe.llm.simhash import op6_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_licenses": op3_licenses,
+    "op4_block_knn": op4_block_knn,
     "op5_virtual_slots": op5_virtual_slots,
     "op6_simhash": op6_simhash,
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_licenses": OP3_SQL, "op10_mixing": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_licenses": OP3_SQL, "op4_block_knn": OP4_SQL, "op10_mixing": OP10_SQL}
