@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from twinframe.llm.language import op8_language
 from twinframe.llm.licenses import OP3_SQL, op3_licenses
 from twinframe.llm.mixing import OP10_SQL, op10_mixing
 from twinframe.llm.neighbours import OP4_SQL, op4_block_knn
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_block_knn": op4_block_knn,
     "op5_virtual_slots": op5_virtual_slots,
     "op6_simhash": op6_simhash,
+    "op8_language": op8_language,
     "op10_mixing": op10_mixing,
 }
 
