@@ -12,8 +12,10 @@ from twinframe.llm.mixing import OP10_SQL, op10_mixing
 from twinframe.llm.neighbours import OP4_SQL, op4_block_knn
 from twinframe.llm.sharding import op5_virtual_slots
 from twinframe.llm.simhash import op6_simhash
+from twinframe.llm.toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op3_licenses": op3_licenses,
     "op4_block_knn": op4_block_knn,
     "op5_virtual_slots": op5_virtual_slots,
