@@ -10,6 +10,7 @@ from twinframe.llm.language import op8_language
 from twinframe.llm.licenses import OP3_SQL, op3_licenses
 from twinframe.llm.mixing import OP10_SQL, op10_mixing
 from twinframe.llm.neighbours import OP4_SQL, op4_block_knn
+from twinframe.llm.pieces import op7_sentencepiece
 from twinframe.llm.sharding import op5_virtual_slots
 from twinframe.llm.simhash import op6_simhash
 from twinframe.llm.toxicity import op2_toxicity
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_block_knn": op4_block_knn,
     "op5_virtual_slots": op5_virtual_slots,
     "op6_simhash": op6_simhash,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_language": op8_language,
     "op10_mixing": op10_mixing,
 }
