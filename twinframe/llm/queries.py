@@ -13,9 +13,11 @@ from twinframe.llm.neighbours import OP4_SQL, op4_block_knn
 from twinframe.llm.pieces import op7_sentencepiece
 from twinframe.llm.sharding import op5_virtual_slots
 from twinframe.llm.simhash import op6_simhash
+from twinframe.llm.tokens import op1_token_counts
 from twinframe.llm.toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
     "op3_licenses": op3_licenses,
     "op4_block_knn": op4_block_knn,
