@@ -245,7 +245,7 @@ def encode(df: DataFrame, *, keep: list[str], text_col: str = "text", model_path
     """
     keep = [c for c in keep if c.lower() not in ("ids", "n_tokens", "round_trip")]
     rows = df.select(*[F.col(c) for c in keep], F.col(text_col).alias("_text"))
-    schema = rows.drop("_text").schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", "int").add("round_trip", "boolean")
+    schema = rows.drop("_text").schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", T.IntegerType()).add("round_trip", T.BooleanType())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model_path, kind)
