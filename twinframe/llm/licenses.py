@@ -56,16 +56,20 @@ def words(text: Column) -> Column:
 
 
 def _places(ws: Column, phrase: str) -> Column:
-    """The word numbers at which ``phrase`` starts in the words ``ws``."""
+    """The word numbers at which ``phrase`` starts in the words ``ws``. They are bound to a lambda's name, so that the
+    text is split once, not at every word."""
     first, *rest = phrase.split()
 
-    def here(i: Column) -> Column:
-        hit = F.get(ws, i) == first
-        for k, w in enumerate(rest, 1):
-            hit = hit & F.coalesce(F.get(ws, i + k) == w, F.lit(False))
-        return hit
+    def search(bound: Column) -> Column:
+        def here(i: Column) -> Column:
+            hit = F.get(bound, i) == first
+            for k, w in enumerate(rest, 1):
+                hit = hit & F.coalesce(F.get(bound, i + k) == w, F.lit(False))
+            return hit
 
-    return F.filter(F.sequence(F.lit(0), F.size(ws) - 1), here)
+        return F.filter(F.sequence(F.lit(0), F.size(bound) - 1), here)
+
+    return F.get(F.transform(F.array(ws), search), F.lit(0))
 
 
 def phrase_hits(text: Column, phrases: dict[str, str] = PHRASES) -> tuple[Column, Column]:
@@ -104,8 +108,9 @@ def similar_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRE
     vocabulary = F.array(*[F.lit(w) for w in sorted(order, key=order.__getitem__)])
     rare = F.array(*[F.lit(w) for w in sorted({row[0] for row in index})])
     least = min(row[5] for row in index)
-    blocks = docs.select("record_id", "text_key", F.posexplode(F.split(F.col("text"), "\n")).alias("line", "block"))
-    blocks = blocks.withColumn("held", F.array_distinct(words(F.col("block"))))
+    # The words are made inside the generator: a filter on them, pushed below a projection, would make them twice.
+    lines = F.transform(F.split(F.col("text"), "\n"), lambda line: F.array_distinct(words(line)))
+    blocks = docs.select("record_id", "text_key", F.posexplode(lines).alias("line", "held"))
     blocks = blocks.filter((F.size("held") >= least) & F.arrays_overlap(F.col("held"), rare))
     blocks = blocks.select("record_id", "text_key", "line", F.size("held").alias("size"), F.array_intersect(vocabulary, F.col("held")).alias("known"))
     met = blocks.withColumn("word", F.explode(F.array_intersect(F.col("known"), rare))).join(prefixes, "word")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from twinframe.llm.language import op8_language
 from twinframe.llm.licenses import OP3_SQL, op3_licenses
+from twinframe.llm.media import op9_media
 from twinframe.llm.mixing import OP10_SQL, op10_mixing
 from twinframe.llm.neighbours import OP4_SQL, op4_block_knn
 from twinframe.llm.pieces import op7_sentencepiece
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_language": op8_language,
+    "op9_media": op9_media,
     "op10_mixing": op10_mixing,
 }
 
