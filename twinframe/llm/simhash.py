@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.window import Window
 
 from twinframe.llm.common import materialise
 from twinframe.llm.components import components
@@ -122,10 +123,107 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return prints.join(named, "fp").select(F.col("record_id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """The rows of ``df`` whose id names their component: one of each group of near-duplicates. Needs unique ids."""
-    kept = near_duplicates(df, id_col=id_col, text_col=text_col, width=width).filter(F.col(id_col) == F.col("component_id"))
-    return df.join(kept.select(id_col), id_col, "left_semi").select(*df.columns)
+#: Words of a wide fingerprint; bits and number of its blocks; bits that may differ (similarity 0.8: 155 of 1024 differ,
+#: with a deviation of 11).
+WORDS, BLOCK_BITS, BLOCKS_A_WORD = 16, 21, 3
+WIDE_DISTANCE = 178
+#: Fixed odd numbers by which a hash is mixed, from the golden ratio.
+_MIX = np.array([(0x9E3779B97F4A7C15 * (2 * n + 1)) & (2**64 - 1) | 1 for n in range(WORDS)], np.uint64)
+
+
+def _set_bits(x: np.ndarray) -> np.ndarray:
+    """How often each bit of the columns of ``x`` (n x words) is set. Rows are added pairwise as bit-sliced numbers: plane
+    k holds bit k of all counts, so one operation adds 64 counts."""
+    planes = [x]
+    while len(planes[0]) > 1:
+        if len(planes[0]) % 2:
+            planes = [np.concatenate([p, np.zeros((1, p.shape[1]), np.uint64)]) for p in planes]
+        added, carry = [], None
+        for p in planes:
+            a, b = p[0::2], p[1::2]
+            either = a ^ b
+            if carry is None:
+                added.append(either)
+                carry = a & b
+            else:
+                added.append(either ^ carry)
+                carry = a & b | either & carry
+        planes = [*added, carry]
+    bits = [np.unpackbits(np.ascontiguousarray(p).view(np.uint8), bitorder="little").astype(np.int64) for p in planes]
+    return sum(b << k for k, b in enumerate(bits))
+
+
+def wide_fingerprint(text: str | None, width: int = 5) -> bytes:
+    """``WORDS`` x 64 bits; all 0 without words."""
+    hashes = np.array(shingle_hashes(text, width), np.uint64)
+    counts = np.zeros(WORDS * BITS, np.int64)
+    for at in range(0, len(hashes), CHUNK >> 2):
+        x = hashes[at : at + (CHUNK >> 2), None] * _MIX
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        counts += _set_bits(x)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes()
+
+
+def wide_links(classes: DataFrame, *, distance: int = WIDE_DISTANCE, bucket: int = BUCKET) -> DataFrame:
+    """(a, b): classes (node, words: array of longs) that share a block and differ in ``distance`` bits or fewer.
+
+    Under a block of up to ``bucket`` classes every pair is compared. Larger ones hold copies of one text many times over:
+    there each class is compared with the least and with the next three in the order of their bits, under each of the 48
+    blocks anew, which is linear in their number.
+    """
+    block = "(n << 21) | (shiftrightunsigned(words[n div 3], cast((n % 3) * 21 as int)) & 2097151)"
+    keyed = classes.select("node", F.posexplode(F.expr(f"transform(sequence(0L, {WORDS * BLOCKS_A_WORD - 1}L), n -> {block})")).alias("n", "key"))
+    keyed = materialise(keyed.select("node", "key"), "simhash-blocks")
+    met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("least")).filter("m > 1")
+    shared = keyed.join(met, "key")
+    few = shared.filter(F.col("m") <= bucket).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    every = F.expr(f"flatten(transform(nodes, (a, i) -> transform(slice(nodes, i + 2, {bucket}), b -> struct(a as a, b as b))))")
+    pairs = few.select(F.explode(every).alias("p")).select("p.a", "p.b")
+    many = shared.filter(F.col("m") > bucket)
+    stars = many.select(F.col("least").alias("a"), F.col("node").alias("b")).filter("a <> b")
+    # The bucket is cut by the next bits of the neighbouring block, so that no task orders all of it.
+    cut = many.join(classes, "node").withColumn("part", F.expr("shiftrightunsigned(words[((key >> 21) div 3 + 1) % 16], 58)"))
+    line = Window.partitionBy("key", "part").orderBy("words", "node").rowsBetween(1, 3)
+    chains = cut.withColumn("next", F.collect_list("node").over(line)).select(F.col("node").alias("a"), F.explode("next").alias("b"))
+    pairs = pairs.unionAll(stars).unionAll(chains).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = classes.select(F.col("node").alias("a"), F.col("words").alias("x"))
+    right = classes.select(F.col("node").alias("b"), F.col("words").alias("y"))
+    differ = F.expr("aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)")
+    return pairs.join(left, "a").join(right, "b").filter(differ <= distance).select("a", "b")
+
+
+def similar_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = WIDE_DISTANCE) -> DataFrame:
+    """(id, component_id) by wide fingerprints: near copies that share about four fifths of their shingles.
+
+    Nulls, blanks, repeated rows and empty tables as for :func:`near_duplicates`: texts without words are one class.
+    """
+
+    @pandas_udf("binary")
+    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([wide_fingerprint(t if isinstance(t, str) else None, width) for t in texts], dtype=object)
+
+    found = df.select(F.col(id_col).alias("record_id"), prints(F.col(text_col)).alias("fp"))
+    word = lambda n: F.conv(F.hex(F.reverse(F.expr(f"substring(fp, {8 * n + 1}, 8)"))), 16, -10).cast("long")
+    found = materialise(found, "simhash-wide")
+    classes = found.groupBy("fp").agg(F.min("record_id").alias("least"))
+    classes = classes.select(F.xxhash64("fp").alias("node"), F.array(*[word(n) for n in range(WORDS)]).alias("words"), "least")
+    classes = materialise(classes, "simhash-classes")
+    roots = components(wide_links(classes.select("node", "words"), distance=distance))
+    rooted = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(named, "root").select("node", "component_id")
+    return found.withColumn("node", F.xxhash64("fp")).join(named, "node").select(F.col("record_id").alias(id_col), "component_id")
+
+
+def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """The rows of ``df`` whose id names their component: one of each group of near copies. Needs unique ids; rows with a
+    null id go."""
+    groups = similar_documents(df, id_col=id_col, text_col=text_col, width=width)
+    kept = materialise(groups.filter(F.col(id_col) == F.col("component_id")).select(id_col), "simhash-kept")
+    return df.join(kept, id_col, "left_semi").select(*df.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
