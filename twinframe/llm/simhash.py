@@ -206,7 +206,7 @@ def similar_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
             yield pd.Series([wide_fingerprint(t if isinstance(t, str) else None, width) for t in texts], dtype=object)
 
     found = df.select(F.col(id_col).alias("record_id"), prints(F.col(text_col)).alias("fp"))
-    word = lambda n: F.conv(F.hex(F.reverse(F.expr(f"substring(fp, {8 * n + 1}, 8)"))), 16, -10).cast("long")
+    word = lambda n: F.conv(F.hex(F.expr(f"substring(fp, {8 * n + 1}, 8)")), 16, -10).cast("long")
     found = materialise(found, "simhash-wide")
     classes = found.groupBy("fp").agg(F.min("record_id").alias("least"))
     classes = classes.select(F.xxhash64("fp").alias("node"), F.array(*[word(n) for n in range(WORDS)]).alias("words"), "least")

@@ -264,7 +264,7 @@ def fit(rows: DataFrame, *, max_grams: int = MAX_GRAMS, calibration_rows: int =
     held = rows.filter(part == 0)
     n = held.count()
     order = F.pmod(F.xxhash64(F.col("record_id"), F.lit("row")), F.lit(1 << 20))
-    sample = held.filter(order < F.lit(int((1 << 20) * min(1.0, 0.9 * calibration_rows / max(n, 1))))).limit(calibration_rows)
+    sample = held.filter(order < F.lit(int((1 << 20) * min(1.0, 0.9 * calibration_rows / max(n, 1)))))
     shipped = rows.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +272,7 @@ def fit(rows: DataFrame, *, max_grams: int = MAX_GRAMS, calibration_rows: int =
             f = shipped.value.features(b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*[pa.array(f[:, k]) for k in range(5)], b.column(1).cast(pa.int32())], names=["a", "b", "c", "d", "e", "y"])
 
-    got = sample.select("text", "y").mapInArrow(measure, "a double, b double, c double, d double, e double, y int").toPandas()
+    got = sample.select("text", "y").mapInArrow(measure, "a double, b double, c double, d double, e double, y int").limit(calibration_rows).toPandas()
     y = (got["y"].to_numpy() > 0).astype(float)
     if 0 < y.sum() < len(y):
         model.weights = _fit_logistic(got[["a", "b", "c", "d", "e"]].to_numpy(), y)
