@@ -1,10 +1,11 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models over letters, toxic and ordinary, predict each letter from the four before it. Each discounts its own counts of
-5-grams; what the discount frees goes to a distribution that both share: the 5-grams of both classes together, discounted
-in turn towards shorter contexts by continuation counts (in how many different contexts a gram was seen). So rare
-expressions weigh the same on both sides. A text's log-likelihoods are compared per letter, over the whole text, its most
-telling stretch and its most telling blocks, and a logistic function turns the differences into a score.
+Two models over letters, toxic and ordinary, predict each letter from the four before it. Each discounts its own counts
+and gives what the discount frees to the next shorter context, by its own continuation counts (in how many contexts a gram
+was seen) down to three letters. Below that both share one distribution, of the continuation counts of both classes
+together, so that what is rare in either weighs the same on both sides. A text's log-likelihoods are compared per letter,
+over the whole text, its most telling stretch and its most telling blocks, and a logistic function turns the differences
+into a score.
 
 Counts are made in the tasks over all labelled rows and summed in one shuffle; all probabilities are joins and sums of the
 counts. The model that reaches the tasks holds at most ``MAX_GRAMS`` n-grams of each order (the most frequent; others back
@@ -27,6 +28,8 @@ from twinframe.llm.chars import CODE_BITS, chunks, coded, counted, grams
 from twinframe.llm.common import materialise, remainder, without
 
 ORDER = 5
+#: Grams up to this length are counted for both classes together.
+SHARED = 2
 DISCOUNT = 0.75
 #: Bound of the model's tables, per order.
 MAX_GRAMS = 1 << 20
@@ -78,39 +81,31 @@ class GramTable:
 
 @dataclass
 class Model:
-    """top: log-probabilities (toxic, ordinary) of seen 5-grams; contexts: log of the mass both free after four letters;
-    shared: by order, log-probabilities of seen grams; freed: by order, log of the mass that a context frees."""
+    """By order: log-probabilities (toxic, ordinary) of the last letter of seen grams, and the log of the mass that each
+    context frees for what is not among them."""
 
-    top: GramTable
-    contexts: GramTable
-    shared: dict[int, GramTable]
+    seen: dict[int, GramTable]
     freed: dict[int, GramTable]
     floor: float
     weights: np.ndarray | None = None
 
-    def _shared_log(self, gram: np.ndarray, n: int) -> np.ndarray:
-        """Log-probability of the last letter of ``n``-grams after the others, from the continuation counts."""
+    def _logs(self, gram: np.ndarray, n: int) -> np.ndarray:
         if n == 0:
-            return np.full(len(gram), self.floor, np.float32)
-        row = self.shared[n].find(gram)
-        out = self.shared[n].values[row, 0]
-        new = np.flatnonzero(row == len(self.shared[n].values) - 1)
+            return np.full((len(gram), 2), self.floor, np.float32)
+        table = self.seen[n]
+        row = table.find(gram)
+        out = table.values[row]
+        new = np.flatnonzero(row == len(table.values) - 1)
         if len(new):
             shorter = gram[new] & np.uint64((1 << (CODE_BITS * (n - 1))) - 1)
             freed = self.freed[n]
-            out[new] = freed.values[freed.find(gram[new] >> np.uint64(CODE_BITS)), 0] + self._shared_log(shorter, n - 1)
+            out[new] = freed.values[freed.find(gram[new] >> np.uint64(CODE_BITS))] + self._logs(shorter, n - 1)
         return out
 
     def logs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(letter log-likelihoods, toxic and ordinary; their text) for every letter that four others precede."""
         gram, doc = grams(*coded(texts), ORDER)
-        row = self.top.find(gram)
-        out = self.top.values[row]
-        new = np.flatnonzero(row == len(self.top.values) - 1)
-        if len(new):
-            freed = self.contexts.values[self.contexts.find(gram[new] >> np.uint64(CODE_BITS))]
-            out[new] = freed + self._shared_log(gram[new], ORDER)[:, None]
-        return out, doc
+        return self._logs(gram, ORDER), doc
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """(texts x 5): mean toxic and ordinary log-likelihood a letter, the largest mean difference over a stretch, that of
@@ -218,41 +213,35 @@ def fit_counts(rows: DataFrame, max_grams: int = MAX_GRAMS) -> Model:
     """The two models from labelled texts (text, y)."""
     up = F.shiftrightunsigned
     tail = lambda c, n: c.bitwiseAND(F.lit((1 << (CODE_BITS * n)) - 1))
-    top = materialise(gram_counts(rows), "toxicity-grams")
-    # Continuation counts: types of the next longer gram.
-    level = {ORDER - 1: materialise(top.groupBy(tail(F.col("gram"), ORDER - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "toxicity-4")}
-    for n in range(ORDER - 2, 0, -1):
-        level[n] = materialise(level[n + 1].groupBy(tail(F.col("gram"), n).alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"toxicity-{n}")
-    letters, total = level[1].agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    floor = -float(np.log(letters + 1))
-    prob, shared, freed = None, {}, {}
-    level[ORDER] = top.select("gram", (F.col("toxic") + F.col("ordinary")).alias("n"))
+    both = ("toxic", "ordinary")
+    level = {ORDER: materialise(gram_counts(rows), "toxicity-grams")}
+    for n in range(ORDER - 1, 0, -1):
+        # Continuation counts: types of the next longer gram, in each class or in both together.
+        longer = level[n + 1].groupBy(tail(F.col("gram"), n).alias("gram"))
+        types = [F.sum((F.col(c) > 0).cast("long")).alias(c) for c in both] if n > SHARED else [F.count(F.lit(1)).alias(c) for c in both]
+        level[n] = materialise(longer.agg(*types), f"toxicity-{n}")
+    letters = level[1].count()
+    below, seen, freed = None, {}, {}
     for n in range(1, ORDER + 1):
-        context = level[n].groupBy(up("gram", CODE_BITS).alias("context")).agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("types"))
-        context = context.withColumn("free", F.lit(DISCOUNT) * F.col("types") / F.col("all"))
+        context = level[n].groupBy(up("gram", CODE_BITS).alias("context")).agg(
+            *[F.sum(c).alias(f"{c}_all") for c in both], *[F.sum((F.col(c) > 0).cast("long")).alias(f"{c}_types") for c in both]
+        )
+        for c in both:
+            context = context.withColumn(f"{c}_free", F.when(F.col(f"{c}_all") > 0, DISCOUNT * F.col(f"{c}_types") / F.col(f"{c}_all")).otherwise(1.0))
         joined = level[n].withColumn("context", up("gram", CODE_BITS)).join(context, "context")
-        if n == 1:
-            lower = joined.withColumn("below", F.lit(1.0 / (letters + 1)))
+        if below is None:
+            joined = joined.select("*", *[F.lit(1.0 / (letters + 1)).alias(f"{c}_below") for c in both])
         else:
-            lower = joined.withColumn("short", tail(F.col("gram"), n - 1)).join(prob.select(F.col("gram").alias("short"), F.col("p").alias("below")), "short")
-        prob = lower.select("gram", "n", ((F.col("n") - DISCOUNT) / F.col("all") + F.col("free") * F.col("below")).alias("p"))
-        prob = materialise(prob, f"toxicity-p{n}")
-        shared[n] = _table(_most_frequent(prob.withColumn("log", F.log("p")), "n", max_grams), "gram", ["log"])
-        freed[n] = _table(_most_frequent(context.withColumn("log", F.log("free")), "all", max_grams), "context", ["log"])
-    context = top.groupBy(up("gram", CODE_BITS).alias("context")).agg(
-        *[F.sum(c).alias(f"{c}_all") for c in ("toxic", "ordinary")],
-        *[F.sum((F.col(c) > 0).cast("long")).alias(f"{c}_types") for c in ("toxic", "ordinary")],
-    )
-    for c in ("toxic", "ordinary"):
-        context = context.withColumn(f"{c}_free", F.when(F.col(f"{c}_all") > 0, DISCOUNT * F.col(f"{c}_types") / F.col(f"{c}_all")).otherwise(1.0))
-    joined = top.withColumn("context", up("gram", CODE_BITS)).join(context, "context")
-    joined = joined.join(prob.select("gram", F.col("p").alias("below")), "gram")
-    log = lambda c: F.log(F.when(F.col(c) > 0, (F.col(c) - DISCOUNT) / F.col(f"{c}_all")).otherwise(0.0) + F.col(f"{c}_free") * F.col("below"))
-    joined = joined.select("gram", log("toxic").alias("toxic_log"), log("ordinary").alias("ordinary_log"), (F.col("toxic") + F.col("ordinary")).alias("n"))
-    seen = _table(_most_frequent(joined, "n", max_grams), "gram", ["toxic_log", "ordinary_log"])
-    context = context.select("context", *[F.log(f"{c}_free").alias(f"{c}_log") for c in ("toxic", "ordinary")], (F.col("toxic_all") + F.col("ordinary_all")).alias("n"))
-    contexts = _table(_most_frequent(context, "n", max_grams), "context", ["toxic_log", "ordinary_log"])
-    return Model(seen, contexts, shared, freed, floor)
+            shorter = below.select(F.col("gram").alias("short"), *[F.col(f"{c}_p").alias(f"{c}_below") for c in both])
+            joined = joined.withColumn("short", tail(F.col("gram"), n - 1)).join(shorter, "short")
+        own = lambda c: F.when(F.col(c) > 0, (F.col(c) - DISCOUNT) / F.col(f"{c}_all")).otherwise(0.0)
+        p = [(own(c) + F.col(f"{c}_free") * F.col(f"{c}_below")).alias(f"{c}_p") for c in both]
+        below = materialise(joined.select("gram", (F.col("toxic") + F.col("ordinary")).alias("n"), *p), f"toxicity-p{n}")
+        logs = below.select("gram", "n", *[F.log(f"{c}_p").alias(c) for c in both])
+        seen[n] = _table(_most_frequent(logs, "n", max_grams), "gram", [*both])
+        free = context.select("context", (F.col("toxic_all") + F.col("ordinary_all")).alias("n"), *[F.log(f"{c}_free").alias(c) for c in both])
+        freed[n] = _table(_most_frequent(free, "n", max_grams), "context", [*both])
+    return Model(seen, freed, -float(np.log(letters + 1)))
 
 
 def fit(rows: DataFrame, *, max_grams: int = MAX_GRAMS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
