@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -267,7 +268,7 @@ def decode(df: DataFrame, *, ids_col: str = "ids", text_col: str = "text", model
     """``df`` with ``text_col``, the text of the ids (null ids: null)."""
 
     @F.pandas_udf("string")
-    def texts(batches: Iterator) -> Iterator:
+    def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = load(model_path)
         for ids in batches:
             yield ids.map(lambda x: None if x is None else pieces.decode(x))

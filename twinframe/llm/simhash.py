@@ -125,7 +125,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 #: Words of a wide fingerprint; bits and number of its blocks; bits that may differ (similarity 0.8: 155 of 1024 differ,
 #: with a deviation of 11).
-WORDS, BLOCK_BITS, BLOCKS_A_WORD = 16, 21, 3
+WORDS, BLOCK_BITS, BLOCK_STARTS = 16, 21, (0, 11, 21, 32, 43)
 WIDE_DISTANCE = 178
 #: Fixed odd numbers by which a hash is mixed, from the golden ratio.
 _MIX = np.array([(0x9E3779B97F4A7C15 * (2 * n + 1)) & (2**64 - 1) | 1 for n in range(WORDS)], np.uint64)
@@ -170,12 +170,13 @@ def wide_links(classes: DataFrame, *, distance: int = WIDE_DISTANCE, bucket: int
     """(a, b): classes (node, words: array of longs) that share a block and differ in ``distance`` bits or fewer.
 
     Under a block of up to ``bucket`` classes every pair is compared. Larger ones hold copies of one text many times over:
-    there each class is compared with the least and with the next three in the order of their bits, under each of the 48
-    blocks anew, which is linear in their number.
+    there each class is compared with the least and with the next three in the order of their bits, under each block anew,
+    which is linear in their number.
     """
-    block = "(n << 21) | (shiftrightunsigned(words[n div 3], cast((n % 3) * 21 as int)) & 2097151)"
-    keyed = classes.select("node", F.posexplode(F.expr(f"transform(sequence(0L, {WORDS * BLOCKS_A_WORD - 1}L), n -> {block})")).alias("n", "key"))
-    keyed = materialise(keyed.select("node", "key"), "simhash-blocks")
+    # A key: the word, which block of it, and its bits.
+    blocks = ", ".join(f"((n * {len(BLOCK_STARTS)} + {k}) << {BLOCK_BITS}) | (shiftrightunsigned(w, {at}) & {(1 << BLOCK_BITS) - 1})" for k, at in enumerate(BLOCK_STARTS))
+    keyed = classes.select("node", F.explode(F.expr(f"flatten(transform(words, (w, n) -> transform(array(cast(n as bigint)), n -> array({blocks}))[0]))")).alias("key"))
+    keyed = materialise(keyed, "simhash-blocks")
     met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("least")).filter("m > 1")
     shared = keyed.join(met, "key")
     few = shared.filter(F.col("m") <= bucket).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
@@ -184,7 +185,7 @@ def wide_links(classes: DataFrame, *, distance: int = WIDE_DISTANCE, bucket: int
     many = shared.filter(F.col("m") > bucket)
     stars = many.select(F.col("least").alias("a"), F.col("node").alias("b")).filter("a <> b")
     # The bucket is cut by the next bits of the neighbouring block, so that no task orders all of it.
-    cut = many.join(classes, "node").withColumn("part", F.expr("shiftrightunsigned(words[((key >> 21) div 3 + 1) % 16], 58)"))
+    cut = many.join(classes, "node").withColumn("part", F.expr(f"shiftrightunsigned(words[((key >> {BLOCK_BITS}) div {len(BLOCK_STARTS)} + 1) % {WORDS}], 58)"))
     line = Window.partitionBy("key", "part").orderBy("words", "node").rowsBetween(1, 3)
     chains = cut.withColumn("next", F.collect_list("node").over(line)).select(F.col("node").alias("a"), F.explode("next").alias("b"))
     pairs = pairs.unionAll(stars).unionAll(chains).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
