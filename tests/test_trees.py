@@ -204,6 +204,16 @@ def test_numbering_in_ranges(spark):
     assert [n for _, n in got] == list(range(7, 1007))
 
 
+def test_gate_either_way(spark, monkeypatch):
+    from twinframe.operators import duplicates
+
+    df = spark.createDataFrame([("a", 1, "x"), ("b", 1, "x"), ("c", 2, "yy"), ("d", 3, None), ("e", 3, "zzz"), ("f", None, "q")], "path string, size long, content string")
+    few = {r.path: r.checksum for r in duplicates.gated_checksums(df).collect()}
+    monkeypatch.setattr(duplicates, "BROADCAST_SIZES", -1)
+    assert few == {r.path: r.checksum for r in duplicates.gated_checksums(df).collect()}
+    assert few["a"] == few["b"] == hashlib.md5(b"x").hexdigest().upper() and few["c"] is few["d"] is few["f"] is None and few["e"]
+
+
 def test_empty_session(spark, tmp_path):
     Session(spark).export_csv(str(tmp_path / "e.csv"))
     assert (tmp_path / "e.csv").read_text() == csv_tree.HEADER + "\n"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinframe.operators.storage import settle
+
 
 def size_histogram(files: DataFrame) -> DataFrame:
     return files.groupBy("size").agg(F.count(F.lit(1)).alias("n_files"))
@@ -22,16 +24,27 @@ def content_checksum(content: str = "content"):
     return F.upper(F.md5(F.col(content).cast("binary")))
 
 
+#: Colliding sizes up to which they are broadcast (8 bytes each).
+BROADCAST_SIZES = 1_000_000
+
+
 def gated_checksums(files: DataFrame) -> DataFrame:
     """``files`` with checksum instead of content: null where no other file has the size, and where content is null.
 
-    The join carries sizes and hashes, not contents: the hash is taken where the content is read.
+    Up to ``BROADCAST_SIZES`` colliding sizes (they are counted first) go to where the contents are read, and only gated
+    files are hashed. Beyond, nearly every file is gated; then the hash is taken first, so that the join moves sizes and
+    hashes but no contents.
     """
     shared = size_histogram(files.select("size")).filter("n_files > 1").select(F.col("size").alias("shared_size"))
+    shared = settle(shared, "shared-sizes")
     rest = [c for c in files.columns if c != "content"]
+    gated = F.col("shared_size").isNotNull()
+    if shared.count() <= BROADCAST_SIZES:
+        joined = files.join(F.broadcast(shared), F.col("size") == F.col("shared_size"), "left")
+        return joined.select(*rest, F.when(gated, content_checksum()).alias("checksum"))
     hashed = files.select(*rest, content_checksum().alias("checksum"))
-    gated = hashed.join(shared, F.col("size") == F.col("shared_size"), "left")
-    return gated.select(*rest, F.when(F.col("shared_size").isNotNull(), F.col("checksum")).alias("checksum"))
+    joined = hashed.join(shared, F.col("size") == F.col("shared_size"), "left")
+    return joined.select(*rest, F.when(gated, F.col("checksum")).alias("checksum"))
 
 
 def groups(hashed: DataFrame) -> DataFrame:
