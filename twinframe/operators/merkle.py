@@ -27,17 +27,18 @@ def folder_checksums(files: DataFrame, all_folders: DataFrame, strict: bool = Fa
 
     A folder's checksum is the MD5 of its children's checksums, files first, each kind by name; a folder without children
     has that of no text; a child without one leaves the folder without. Names do not count, nor do kinds unless ``strict``.
-    One job for each level of depth; each level is written, so that it is computed once.
+    One job for each level of depth, over the items right below it; each level is written, so that it is computed once.
+    ``files`` are read once a level, and should be a written table.
     """
     own = with_names(files.select("location_seq", "root", "path", "checksum", "epoch"), True)
-    own = own.select("location_seq", "parent_path", F.lit(0).alias("rank"), "name", "checksum", "epoch")
+    own = own.select("location_seq", "parent_path", F.lit(0).alias("rank"), "name", "checksum", "epoch", "depth")
     named = settle(with_names(all_folders.select("location_seq", "root", "path"), False).select("location_seq", "root", "path", "parent_path", "name", "depth"), "folders")
-    own = settle(own, "children")
     depths = [r["depth"] for r in named.select("depth").distinct().collect()]
     below, done = None, None
     for d in sorted(depths, reverse=True):
         here = named.filter(F.col("depth") == d)
-        children = own if below is None else own.unionByName(below)
+        children = own.filter(F.col("depth") == d + 1).drop("depth")
+        children = children if below is None else children.unionByName(below)
         text = F.concat(F.col("rank").cast("string"), "checksum") if strict else F.col("checksum")
         summed = children.groupBy("location_seq", F.col("parent_path").alias("path")).agg(
             F.sort_array(F.collect_list(F.struct("rank", "name", text.alias("text")))).alias("parts"),
