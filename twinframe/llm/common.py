@@ -2,37 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinframe.operators.storage import settle as materialise
+from twinframe.operators.storage import shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the synthetic tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session names none (single-machine tests), a temporary folder of this machine stands in.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = tempfile.mkdtemp(prefix="twinframe-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back: cuts the lineage, survives a lost executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/twinframe/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialise", "remainder", "shared_dir", "without"]
 
 
 def remainder(id_col: str, modulus: int) -> Column:
