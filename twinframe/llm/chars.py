@@ -10,7 +10,7 @@ import numpy as np
 #: Bits of a letter code. Code 0 is a run of anything but letters.
 CODE_BITS = 12
 #: Characters coded at once, if texts allow; bounds memory. A longer text is coded alone, whole.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 @cache
@@ -51,12 +51,12 @@ def grams(codes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return (gram, doc[:m]) if whole.all() else (gram[whole], doc[:m][whole])
 
 
-def chunks(texts: list[str | None]) -> Iterator[slice]:
-    """Slices of ``texts`` of about CHUNK characters."""
+def chunks(texts: list[str | None], most: int = CHUNK) -> Iterator[slice]:
+    """Slices of ``texts`` of about ``most`` characters."""
     start = size = 0
     for n, t in enumerate(texts):
         size += len(t or "") + 2
-        if size >= CHUNK:
+        if size >= most:
             yield slice(start, n + 1)
             start, size = n + 1, 0
     if start < len(texts):

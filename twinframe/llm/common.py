@@ -10,7 +10,20 @@ from pyspark.sql import functions as F
 from twinframe.operators.storage import settle as materialise
 from twinframe.operators.storage import shared_dir
 
-__all__ = ["materialise", "remainder", "shared_dir", "without"]
+__all__ = ["in_batches", "materialise", "remainder", "shared_dir", "without"]
+
+#: Rows of a batch that goes to Python. Texts are kilobytes, so Spark's default of 10,000 takes tens of megabytes for each
+#: task, several times over.
+BATCH_ROWS = 1000
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session hands rows to Python ``BATCH_ROWS`` at a time, or fewer if it did already."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
 
 
 def remainder(id_col: str, modulus: int) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
 from twinframe.llm.chars import CODE_BITS, chunks, coded, counted, grams
-from twinframe.llm.common import remainder, without
+from twinframe.llm.common import in_batches, remainder, without
 
 ORDERS = (1, 2, 3)
 DEPTH = 400
@@ -64,7 +64,7 @@ def profiles(df: DataFrame, *, lang_col: str = "lang", text_col: str = "text", d
             gram = (k & np.uint64((1 << _GRAM_BITS) - 1)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(gram), pa.array(sums[at : at + (1 << 16)])], names=["lang", "gram", "n"])
 
-    taught = df.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
+    taught = in_batches(df).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
     total = taught.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     kept = total.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= depth)
@@ -142,7 +142,7 @@ def identify(df: DataFrame, by_lang: dict[str, np.ndarray], *, text_col: str = "
             lang, score = ranker.predict([t if isinstance(t, str) else None for t in texts])
             yield pd.DataFrame({"lang_pred": lang, "lang_score": score})
 
-    kept = without(df, ["lang_pred", "lang_score"])
+    kept = without(in_batches(df), ["lang_pred", "lang_score"])
     marked = kept.select(F.struct("*").alias("row"), predict(F.col(text_col)).alias("found"))
     return marked.select("row.*", "found.*")
 

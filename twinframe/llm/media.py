@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from twinframe.llm import jpeg
-from twinframe.llm.common import without
+from twinframe.llm.common import in_batches, without
 
 BLOCK = 64
 #: Payload bytes that are coded together.
@@ -100,7 +100,7 @@ def add_media(df: DataFrame, *, text_col: str = "text", media_col: str = "media"
             data = [payload((t or "").encode("utf-8", "surrogatepass")) for t in texts]
             yield pd.Series([f for s in together([*map(len, data)]) for f in to_files(data[s])], dtype=object)
 
-    return without(df, [media_col]).withColumn(media_col, files(F.col(text_col)))
+    return without(in_batches(df), [media_col]).withColumn(media_col, files(F.col(text_col)))
 
 
 def add_images(df: DataFrame, *, media_col: str = "media", image_col: str = "image") -> DataFrame:
@@ -116,7 +116,7 @@ def add_images(df: DataFrame, *, media_col: str = "media", image_col: str = "ima
                     rows[n] = (image.shape[0], image.shape[1], image.tobytes())
             yield pd.DataFrame(rows, columns=["height", "width", "rgb"])
 
-    return without(df, [image_col]).withColumn(image_col, decoded(F.col(media_col)))
+    return without(in_batches(df), [image_col]).withColumn(image_col, decoded(F.col(media_col)))
 
 
 _DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -153,7 +153,7 @@ def digests(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
                 own = b.column(0).slice(s.start, s.stop - s.start)
                 yield pa.RecordBatch.from_arrays([own, *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=["record_id", *names])
 
-    rows = df.select(F.col(id_col).alias("record_id"), F.col(text_col).alias("text"))
+    rows = in_batches(df).select(F.col(id_col).alias("record_id"), F.col(text_col).alias("text"))
     found = rows.mapInArrow(work, f"record_id {rows.schema['record_id'].dataType.simpleString()}, {_DIGEST}")
     return found.withColumnRenamed("record_id", id_col)
 

@@ -27,12 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinframe.llm.chars import chunks
+from twinframe.llm.common import in_batches
 
 MARK = "▁"
 #: Where the public vocabulary of the queries lies.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words and pairs of pieces remembered in a worker.
-WORDS, PAIRS = 400_000, 1_000_000
+WORDS, PAIRS = 250_000, 300_000
+#: Characters whose distinct words are sorted together.
+TOGETHER = 1 << 20
 
 
 class Pieces:
@@ -245,14 +248,14 @@ def encode(df: DataFrame, *, keep: list[str], text_col: str = "text", model_path
     for a space, so such a text does not round trip. Columns of the input that are called like the new ones are replaced.
     """
     keep = [c for c in keep if c.lower() not in ("ids", "n_tokens", "round_trip")]
-    rows = df.select(*[F.col(c) for c in keep], F.col(text_col).alias("_text"))
+    rows = in_batches(df).select(*[F.col(c) for c in keep], F.col(text_col).alias("_text"))
     schema = rows.drop("_text").schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", T.IntegerType()).add("round_trip", T.BooleanType())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model_path, kind)
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
-            for s in chunks(texts):
+            for s in chunks(texts, TOGETHER):
                 ids = pieces.encode(texts[s])
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 flat = np.fromiter((i for x in ids for i in x), np.int32, int(ends[-1]))
@@ -260,6 +263,8 @@ def encode(df: DataFrame, *, keep: list[str], text_col: str = "text", model_path
                 columns = [b.column(c).slice(s.start, s.stop - s.start) for c in range(b.num_columns - 1)]
                 columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(np.diff(ends).astype(np.int32)), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "ids", "n_tokens", "round_trip"])
+        # The worker lives on; what this task remembered need not.
+        pieces.words.clear()
 
     return rows.mapInArrow(work, schema)
 
@@ -273,7 +278,7 @@ def decode(df: DataFrame, *, ids_col: str = "ids", text_col: str = "text", model
         for ids in batches:
             yield ids.map(lambda x: None if x is None else pieces.decode(x))
 
-    return df.withColumn(text_col, texts(F.col(ids_col)))
+    return in_batches(df).withColumn(text_col, texts(F.col(ids_col)))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

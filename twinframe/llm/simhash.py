@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
-from twinframe.llm.common import materialise
+from twinframe.llm.common import in_batches, materialise
 from twinframe.llm.components import components
 
 BITS = 64
@@ -74,7 +74,7 @@ def _fingerprint_column(width: int):
 
 def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(record_id, fp): the fingerprint of every row as a signed long. Null and blank texts: 0."""
-    return df.select(F.col(id_col).alias("record_id"), _fingerprint_column(width)(F.col(text_col)).alias("fp"))
+    return in_batches(df).select(F.col(id_col).alias("record_id"), _fingerprint_column(width)(F.col(text_col)).alias("fp"))
 
 
 def _block_keys(blocks: int, distance: int) -> list[Column]:
@@ -206,7 +206,7 @@ def similar_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
         for texts in batches:
             yield pd.Series([wide_fingerprint(t if isinstance(t, str) else None, width) for t in texts], dtype=object)
 
-    found = df.select(F.col(id_col).alias("record_id"), prints(F.col(text_col)).alias("fp"))
+    found = in_batches(df).select(F.col(id_col).alias("record_id"), prints(F.col(text_col)).alias("fp"))
     word = lambda n: F.conv(F.hex(F.expr(f"substring(fp, {8 * n + 1}, 8)")), 16, -10).cast("long")
     found = materialise(found, "simhash-wide")
     classes = found.groupBy("fp").agg(F.min("record_id").alias("least"))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from twinframe.llm.common import without
+from twinframe.llm.common import in_batches, without
 
 #: The public vocabulary of the queries, and the pattern that it goes with (fixed values).
 RANKS_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -33,7 +33,7 @@ LEAF = 64
 #: A match of the pattern depends on no more characters behind its end than this.
 LOOK_AHEAD = 2
 #: Pre-tokens whose counts a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class Counter:
@@ -172,7 +172,7 @@ def token_trees(df: DataFrame, *, text_col: str = "text", ranks_path: str = RANK
                 rows.append((tree.total, *tree.leaves()))
             yield pd.DataFrame(rows, columns=["n_tokens", "leaf_chars", "leaf_tokens"])
 
-    kept = without(df, ["n_tokens", "leaf_chars", "leaf_tokens"])
+    kept = without(in_batches(df), ["n_tokens", "leaf_chars", "leaf_tokens"])
     marked = kept.select(F.struct("*").alias("row"), build(F.col(text_col)).alias("found"))
     return marked.select("row.*", "found.*")
 
@@ -201,7 +201,7 @@ def apply_edits(trees: DataFrame, edits: Column, *, text_col: str = "text", rank
                 rows.append((tree.text() if return_text else None, tree.total, *tree.leaves(), tree.recounted))
             yield pd.DataFrame(rows, columns=["text", "n_tokens", "leaf_chars", "leaf_tokens", "n_recounted"])
 
-    kept = without(trees, ["n_before", "n_recounted"])
+    kept = without(in_batches(trees), ["n_before", "n_recounted"])
     rest = [F.col(c) for c in kept.columns if c not in (text_col, "n_tokens", "leaf_chars", "leaf_tokens")]
     marked = kept.select(*rest, F.col("n_tokens").alias("n_before"), change(F.col(text_col), F.col("leaf_chars"), F.col("leaf_tokens"), edits).alias("found"))
     return marked.select(*rest, "n_before", F.col("found.text").alias(text_col), "found.n_tokens", "found.leaf_chars", "found.leaf_tokens", "found.n_recounted")

@@ -25,14 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from twinframe.llm.chars import CODE_BITS, chunks, coded, counted, grams
-from twinframe.llm.common import materialise, remainder, without
+from twinframe.llm.common import in_batches, materialise, remainder, without
 
 ORDER = 5
 #: Grams up to this length are counted for both classes together.
 SHARED = 2
 DISCOUNT = 0.75
 #: Bound of the model's tables, per order.
-MAX_GRAMS = 1 << 20
+MAX_GRAMS = 1 << 19
 #: Letters of the stretch that is compared besides the whole text.
 STRETCH = 16
 #: So many blocks of that length, the most telling, are averaged.
@@ -48,7 +48,7 @@ class GramTable:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.values = np.vstack([values, np.zeros((1, values.shape[1]), np.float32)]).astype(np.float32)
-        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.bits = max(4, (len(keys) + len(keys) // 2).bit_length())
         self.keys = np.full(1 << self.bits, ~np.uint64(0), np.uint64)
         self.row = np.full(1 << self.bits, len(keys), np.int32)
         slot, rest = self._slot(keys), np.arange(len(keys))
@@ -167,7 +167,7 @@ def _fit_logistic(f: np.ndarray, y: np.ndarray, penalty: float = 0.05) -> np.nda
 def labelled(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """(record_id, text, y): the texts that have a label; of several labels the largest."""
     y = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("record_id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
-    texts = docs.select(F.col(id_col).alias("record_id"), F.col(text_col).alias("text")).filter("text is not null")
+    texts = in_batches(docs).select(F.col(id_col).alias("record_id"), F.col(text_col).alias("text")).filter("text is not null")
     y = materialise(y, "toxicity-labels")
     return texts.join(F.broadcast(y) if y.count() <= BROADCAST_LABELS else y, "record_id")
 
@@ -204,9 +204,10 @@ def _most_frequent(df: DataFrame, by: str, most: int) -> DataFrame:
 
 
 def _table(df: DataFrame, key: str, values: list[str]) -> GramTable:
-    """Fetched in parts, so that no single result is large."""
-    rows = df.select(F.col(key).alias("k"), *[F.col(v).cast("float") for v in values]).toPandas()
-    return GramTable(rows["k"].to_numpy().astype(np.uint64), rows[values].to_numpy(np.float32).reshape(len(rows), len(values)))
+    """Fetched as Arrow columns: no Python object for each row."""
+    rows = df.select(F.col(key).alias("k"), *[F.col(v).cast("float") for v in values]).toArrow()
+    columns = [rows.column(n + 1).to_numpy().astype(np.float32) for n in range(len(values))]
+    return GramTable(rows.column(0).to_numpy().astype(np.uint64), np.column_stack(columns).reshape(len(rows), len(values)))
 
 
 def fit_counts(rows: DataFrame, max_grams: int = MAX_GRAMS) -> Model:
@@ -285,7 +286,7 @@ def score(df: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
             f = shipped.value.features([t if isinstance(t, str) else None for t in texts])
             yield pd.DataFrame({"toxicity": shipped.value.score(f), "toxic_log": f[:, 0], "ordinary_log": f[:, 1], "peak": f[:, 2]})
 
-    kept = without(df, ["toxicity", "toxic_log", "ordinary_log", "peak"])
+    kept = without(in_batches(df), ["toxicity", "toxic_log", "ordinary_log", "peak"])
     marked = kept.select(F.struct("*").alias("row"), scored(F.col(text_col)).alias("found"))
     return marked.select("row.*", "found.*")
 
