@@ -140,6 +140,23 @@ def test_wide_fingerprints_find_near_copies(spark):
     assert {3 * n for n in range(60)} <= left and len(left) <= 63
 
 
+@pytest.mark.parametrize("bucket, tile", [(4, 4096), (4, 32), (24, 64)])
+def test_wide_links_in_large_blocks(spark, bucket, tile):
+    rng = np.random.default_rng(tile + bucket)
+    # A common passage: all share the first word. Every third is a copy of another with up to 170 bits changed.
+    words = rng.integers(0, 2**63, (240, simhash.WORDS), np.int64).astype(np.uint64)
+    for n in range(0, 240, 3):
+        bits = rng.choice(np.arange(64, 1024), 150 + n % 50, replace=False)
+        flip = np.zeros(1024, np.uint8)
+        flip[bits] = 1
+        words[n] = words[(n + 121) % 240] ^ np.packbits(flip, bitorder="little").view(np.uint64)
+    words[:, 0] = words[0, 0]
+    df = spark.createDataFrame([(n, row) for n, row in enumerate(words.view(np.int64).tolist())], "node long, words array<long>")
+    found = {r.node: r.root for r in components.components(simhash.wide_links(df, bucket=bucket, tile=tile)).collect()}
+    roots = _roots(240, lambda i, j: int(np.bitwise_count(words[i] ^ words[j]).sum()) <= simhash.WIDE_DISTANCE)
+    assert [found.get(n, n) for n in range(240)] == roots and 40 < 240 - len(set(roots)) < 80
+
+
 def test_bit_counts():
     x = np.random.default_rng(0).integers(0, 2**63, (77, 3), np.int64).astype(np.uint64)
     want = np.unpackbits(x.view(np.uint8).reshape(77, -1), axis=1, bitorder="little").sum(axis=0)

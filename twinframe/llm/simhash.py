@@ -22,7 +22,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.window import Window
 
 from twinframe.llm.common import in_batches, materialise
 from twinframe.llm.components import components
@@ -127,6 +126,8 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 #: with a deviation of 11).
 WORDS, BLOCK_BITS, BLOCK_STARTS = 16, 21, (0, 11, 21, 32, 43)
 WIDE_DISTANCE = 178
+#: Classes that are compared in one piece where more than BUCKET share a block; bounds memory, not what is compared.
+TILE = 4096
 #: Fixed odd numbers by which a hash is mixed, from the golden ratio.
 _MIX = np.array([(0x9E3779B97F4A7C15 * (2 * n + 1)) & (2**64 - 1) | 1 for n in range(WORDS)], np.uint64)
 
@@ -166,33 +167,62 @@ def wide_fingerprint(text: str | None, width: int = 5) -> bytes:
     return np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes()
 
 
-def wide_links(classes: DataFrame, *, distance: int = WIDE_DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """(a, b): classes (node, words: array of longs) that share a block and differ in ``distance`` bits or fewer.
-
-    Under a block of up to ``bucket`` classes every pair is compared. Larger ones hold copies of one text many times over:
-    there each class is compared with the least and with the next three in the order of their bits, under each block anew,
-    which is linear in their number.
+def near_rows(words: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, row) between fingerprints (n x words) at ``distance`` bits or fewer: those of a spanning forest, so no more
+    than n. Every pair is compared, but for rows that are in one component already."""
+    left, rest = np.ascontiguousarray(words.T), np.arange(len(words))
+    queue, a, b = [], [], []
+    while len(rest):
+        if queue:
+            at = queue.pop()
+        else:
+            at, rest, left = rest[0], rest[1:], left[:, 1:]
+        near = np.bitwise_count(left ^ words[at][:, None]).sum(axis=0, dtype=np.int32) <= distance
+        if near.any():
+            found = rest[near]
+            a.append(np.full(len(found), at))
+            b.append(found)
+            queue.extend(found)
+            rest, left = rest[~near], left[:, ~near]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def wide_links(classes: DataFrame, *, distance: int = WIDE_DISTANCE, bucket: int = BUCKET, tile: int = TILE) -> DataFrame:
+    """(a, b): links between classes (node, words: array of longs) that share a block and differ in ``distance`` bits or
+    fewer, enough for the same components.
+
+    Under a block of up to ``bucket`` classes every pair is joined and verified. Larger ones (a common passage, or many
+    copies of one text) are compared whole where they are gathered, ``tile`` classes at a time: a block of more is dealt
+    into parts of half a tile, and each two parts meet in a tile. Only links leave a tile, fewer than it has classes.
     """
     # A key: the word, which block of it, and its bits.
     blocks = ", ".join(f"((n * {len(BLOCK_STARTS)} + {k}) << {BLOCK_BITS}) | (shiftrightunsigned(w, {at}) & {(1 << BLOCK_BITS) - 1})" for k, at in enumerate(BLOCK_STARTS))
     keyed = classes.select("node", F.explode(F.expr(f"flatten(transform(words, (w, n) -> transform(array(cast(n as bigint)), n -> array({blocks}))[0]))")).alias("key"))
     keyed = materialise(keyed, "simhash-blocks")
-    met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("least")).filter("m > 1")
+    met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     shared = keyed.join(met, "key")
     few = shared.filter(F.col("m") <= bucket).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
     every = F.expr(f"flatten(transform(nodes, (a, i) -> transform(slice(nodes, i + 2, {bucket}), b -> struct(a as a, b as b))))")
-    pairs = few.select(F.explode(every).alias("p")).select("p.a", "p.b")
-    many = shared.filter(F.col("m") > bucket)
-    stars = many.select(F.col("least").alias("a"), F.col("node").alias("b")).filter("a <> b")
-    # The bucket is cut by the next bits of the neighbouring block, so that no task orders all of it.
-    cut = many.join(classes, "node").withColumn("part", F.expr(f"shiftrightunsigned(words[((key >> {BLOCK_BITS}) div {len(BLOCK_STARTS)} + 1) % {WORDS}], 58)"))
-    line = Window.partitionBy("key", "part").orderBy("words", "node").rowsBetween(1, 3)
-    chains = cut.withColumn("next", F.collect_list("node").over(line)).select(F.col("node").alias("a"), F.explode("next").alias("b"))
-    pairs = pairs.unionAll(stars).unionAll(chains).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = few.select(F.explode(every).alias("p")).select("p.a", "p.b").distinct()
     left = classes.select(F.col("node").alias("a"), F.col("words").alias("x"))
     right = classes.select(F.col("node").alias("b"), F.col("words").alias("y"))
     differ = F.expr("aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)")
-    return pairs.join(left, "a").join(right, "b").filter(differ <= distance).select("a", "b")
+    pairs = pairs.join(left, "a").join(right, "b").filter(differ <= distance).select("a", "b")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        nodes = group["node"].to_numpy()
+        a, b = near_rows(np.stack(group["words"].to_numpy()).astype(np.int64).view(np.uint64), distance)
+        return pd.DataFrame({"a": np.minimum(nodes[a], nodes[b]), "b": np.maximum(nodes[a], nodes[b])})
+
+    half = max(1, tile // 2)
+    many = shared.filter(F.col("m") > bucket)
+    many = many.withColumn("parts", F.when(F.col("m") <= tile, 1).otherwise(F.ceil(F.col("m") / half)).cast("int"))
+    many = many.withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int"))
+    other = F.explode(F.expr("if(parts = 1, array(0), filter(sequence(0, parts - 1), p -> p <> part))"))
+    tiles = many.select("key", "node", "part", other.alias("other")).select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "node")
+    inside = tiles.join(classes.select("node", "words"), "node").groupBy("key", "p", "q").applyInPandas(compare, "a long, b long")
+    return pairs.unionAll(inside).distinct()
 
 
 def similar_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = WIDE_DISTANCE) -> DataFrame:
