@@ -81,6 +81,15 @@ def test_kneser_ney(spark):
     assert np.allclose(logs, [want(g) for g in grams], atol=2e-4)
 
 
+def test_every_gram_is_kept(spark):
+    rng = np.random.default_rng(2)
+    rows = [("".join(map(chr, rng.integers(97, 123, 20_000))), int(n % 10 == 0)) for n in range(36)]
+    model = toxicity.fit_counts(spark.createDataFrame(rows, "text string, y int"))
+    gram = np.unique(chars.grams(*chars.coded([t for t, _ in rows]), toxicity.ORDER)[0])
+    assert len(gram) > 1 << 19 and (model.seen[5].find(gram) < len(model.seen[5].values) - 1).all()
+    assert (model.freed[5].find(gram >> np.uint64(chars.CODE_BITS)) < len(model.freed[5].values) - 1).all()
+
+
 def test_toxic_words_are_found(spark):
     rng = random.Random(1)
     plain = ["".join(rng.choices("aeioulmnrst", k=rng.randrange(3, 8))) for _ in range(400)]

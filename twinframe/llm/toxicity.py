@@ -8,8 +8,8 @@ over the whole text, its most telling stretch and its most telling blocks, and a
 into a score.
 
 Counts are made in the tasks over all labelled rows and summed in one shuffle; all probabilities are joins and sums of the
-counts. The model that reaches the tasks holds at most ``MAX_GRAMS`` n-grams of each order (the most frequent; others back
-off), whatever the corpus. Scoring is one pass without a shuffle.
+counts. The model that reaches the tasks holds every n-gram that was counted, so it grows with the distinct n-grams of the
+labelled texts. Scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ ORDER = 5
 #: Grams up to this length are counted for both classes together.
 SHARED = 2
 DISCOUNT = 0.75
-#: Bound of the model's tables, per order.
-MAX_GRAMS = 1 << 19
+#: Rows of the model's tables that one job sends to the driver, about; a table is fetched in as many jobs as it takes.
+FETCHED = 1 << 21
 #: Letters of the stretch that is compared besides the whole text.
 STRETCH = 16
 #: So many blocks of that length, the most telling, are averaged.
@@ -191,26 +191,17 @@ def gram_counts(rows: DataFrame, n: int = ORDER) -> DataFrame:
     return rows.select("text", "y").mapInArrow(count, "gram long, toxic long, ordinary long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def _most_frequent(df: DataFrame, by: str, most: int) -> DataFrame:
-    """The rows whose ``by`` is at least the least bound that keeps ``most`` rows or fewer."""
-    steps = df.groupBy(F.least(F.col(by), F.lit(10_000)).alias("v")).agg(F.count(F.lit(1)).alias("n")).collect()
-    kept, bound = 0, 10_001
-    for r in sorted(steps, key=lambda r: -r["v"]):
-        kept += r["n"]
-        if kept > most:
-            break
-        bound = r["v"]
-    return df.filter(F.col(by) >= bound)
-
-
 def _table(df: DataFrame, key: str, values: list[str]) -> GramTable:
-    """Fetched as Arrow columns: no Python object for each row."""
-    rows = df.select(F.col(key).alias("k"), *[F.col(v).cast("float") for v in values]).toArrow()
-    columns = [rows.column(n + 1).to_numpy().astype(np.float32) for n in range(len(values))]
-    return GramTable(rows.column(0).to_numpy().astype(np.uint64), np.column_stack(columns).reshape(len(rows), len(values)))
+    """All rows of ``df``, fetched as Arrow columns: no Python object for each row."""
+    parts = max(1, -(-df.count() // FETCHED))
+    part = F.pmod(F.xxhash64(key), F.lit(parts))
+    columns = [F.col(key).alias("k"), *[F.col(v).cast("float") for v in values]]
+    rows = pa.concat_tables([df.filter(part == n).select(*columns).toArrow() for n in range(parts)])
+    logs = [rows.column(n + 1).to_numpy().astype(np.float32) for n in range(len(values))]
+    return GramTable(rows.column(0).to_numpy().astype(np.uint64), np.column_stack(logs).reshape(len(rows), len(values)))
 
 
-def fit_counts(rows: DataFrame, max_grams: int = MAX_GRAMS) -> Model:
+def fit_counts(rows: DataFrame) -> Model:
     """The two models from labelled texts (text, y)."""
     up = F.shiftrightunsigned
     tail = lambda c, n: c.bitwiseAND(F.lit((1 << (CODE_BITS * n)) - 1))
@@ -229,6 +220,7 @@ def fit_counts(rows: DataFrame, max_grams: int = MAX_GRAMS) -> Model:
         )
         for c in both:
             context = context.withColumn(f"{c}_free", F.when(F.col(f"{c}_all") > 0, DISCOUNT * F.col(f"{c}_types") / F.col(f"{c}_all")).otherwise(1.0))
+        context = materialise(context, f"toxicity-c{n}")
         joined = level[n].withColumn("context", up("gram", CODE_BITS)).join(context, "context")
         if below is None:
             joined = joined.select("*", *[F.lit(1.0 / (letters + 1)).alias(f"{c}_below") for c in both])
@@ -237,19 +229,17 @@ def fit_counts(rows: DataFrame, max_grams: int = MAX_GRAMS) -> Model:
             joined = joined.withColumn("short", tail(F.col("gram"), n - 1)).join(shorter, "short")
         own = lambda c: F.when(F.col(c) > 0, (F.col(c) - DISCOUNT) / F.col(f"{c}_all")).otherwise(0.0)
         p = [(own(c) + F.col(f"{c}_free") * F.col(f"{c}_below")).alias(f"{c}_p") for c in both]
-        below = materialise(joined.select("gram", (F.col("toxic") + F.col("ordinary")).alias("n"), *p), f"toxicity-p{n}")
-        logs = below.select("gram", "n", *[F.log(f"{c}_p").alias(c) for c in both])
-        seen[n] = _table(_most_frequent(logs, "n", max_grams), "gram", [*both])
-        free = context.select("context", (F.col("toxic_all") + F.col("ordinary_all")).alias("n"), *[F.log(f"{c}_free").alias(c) for c in both])
-        freed[n] = _table(_most_frequent(free, "n", max_grams), "context", [*both])
+        below = materialise(joined.select("gram", *p), f"toxicity-p{n}")
+        seen[n] = _table(below.select("gram", *[F.log(f"{c}_p").alias(c) for c in both]), "gram", [*both])
+        freed[n] = _table(context.select("context", *[F.log(f"{c}_free").alias(c) for c in both]), "context", [*both])
     return Model(seen, freed, -float(np.log(letters + 1)))
 
 
-def fit(rows: DataFrame, *, max_grams: int = MAX_GRAMS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
+def fit(rows: DataFrame, *, calibration_rows: int = CALIBRATION_ROWS) -> Model:
     """Models from three quarters of the labelled rows (record_id, text, y), and the logistic function from the fourth
     (``calibration_rows`` of it at most), so that it meets texts as new to the models as those to be scored."""
     part = F.pmod(F.xxhash64(F.col("record_id"), F.lit("part")), F.lit(4))
-    model = fit_counts(rows.filter(part != 0), max_grams)
+    model = fit_counts(rows.filter(part != 0))
     # On average the wanted number, well within the bound; the limit holds the bound.
     held = rows.filter(part == 0)
     n = held.count()
