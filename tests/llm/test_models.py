@@ -109,6 +109,15 @@ def test_toxic_words_are_found(spark):
     assert sum(right) >= 0.95 * len(right)
 
 
+def test_all_labelled_rows_are_counted(spark):
+    rows = [(n, f"{'murk' if n % 4 == 0 else 'calm'} words of row {chr(97 + n % 26)}{chr(97 + n // 26)}zzz", int(n % 4 == 0)) for n in range(80)]
+    df = spark.createDataFrame(rows, "record_id long, text string, y int")
+    model, whole = toxicity.fit(df), toxicity.fit_counts(df)
+    texts = [t for _, t, _ in rows]
+    assert len(model.seen[5].values) == len(whole.seen[5].values) and model.weights is not None
+    assert np.allclose(model.logs(texts)[0], whole.logs(texts)[0], atol=1e-5)
+
+
 def test_toxicity_query(spark, sf_dir):
     got = queries.QUERIES["op2_toxicity"](spark, sf_dir).toPandas()
     assert len(got) == 200 and got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.5)).all()

@@ -203,10 +203,15 @@ def _table(df: DataFrame, key: str, values: list[str]) -> GramTable:
 
 def fit_counts(rows: DataFrame) -> Model:
     """The two models from labelled texts (text, y)."""
+    return _from_counts(materialise(gram_counts(rows), "toxicity-grams"))
+
+
+def _from_counts(counts: DataFrame) -> Model:
+    """The two models from the written counts of the longest grams."""
     up = F.shiftrightunsigned
     tail = lambda c, n: c.bitwiseAND(F.lit((1 << (CODE_BITS * n)) - 1))
     both = ("toxic", "ordinary")
-    level = {ORDER: materialise(gram_counts(rows), "toxicity-grams")}
+    level = {ORDER: counts}
     for n in range(ORDER - 1, 0, -1):
         # Continuation counts: types of the next longer gram, in each class or in both together.
         longer = level[n + 1].groupBy(tail(F.col("gram"), n).alias("gram"))
@@ -236,10 +241,12 @@ def fit_counts(rows: DataFrame) -> Model:
 
 
 def fit(rows: DataFrame, *, calibration_rows: int = CALIBRATION_ROWS) -> Model:
-    """Models from three quarters of the labelled rows (record_id, text, y), and the logistic function from the fourth
-    (``calibration_rows`` of it at most), so that it meets texts as new to the models as those to be scored."""
+    """Models from all labelled rows (record_id, text, y). The logistic function is fitted with models of three quarters of
+    them on the fourth (``calibration_rows`` of it at most), so that it meets texts as new to those models as the texts to
+    be scored; then the counts of the fourth are added."""
     part = F.pmod(F.xxhash64(F.col("record_id"), F.lit("part")), F.lit(4))
-    model = fit_counts(rows.filter(part != 0))
+    most = materialise(gram_counts(rows.filter(part != 0)), "toxicity-grams")
+    model = _from_counts(most)
     # On average the wanted number, well within the bound; the limit holds the bound.
     held = rows.filter(part == 0)
     n = held.count()
@@ -255,9 +262,15 @@ def fit(rows: DataFrame, *, calibration_rows: int = CALIBRATION_ROWS) -> Model:
     got = sample.select("text", "y").mapInArrow(measure, "a double, b double, c double, d double, e double, y int").limit(calibration_rows).toPandas()
     y = (got["y"].to_numpy() > 0).astype(float)
     if 0 < y.sum() < len(y):
-        model.weights = _fit_logistic(got[["a", "b", "c", "d", "e"]].to_numpy(), y)
+        weights = _fit_logistic(got[["a", "b", "c", "d", "e"]].to_numpy(), y)
     elif len(y):
-        model.weights = np.array([6.0 if y[0] else -6.0, 0, 0, 0, 0, 0, 0])
+        weights = np.array([6.0 if y[0] else -6.0, 0, 0, 0, 0, 0, 0])
+    else:
+        return model
+    shipped.unpersist()
+    every = most.unionAll(gram_counts(held)).groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    model = _from_counts(materialise(every, "toxicity-grams"))
+    model.weights = weights
     return model
 
 
