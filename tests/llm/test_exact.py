@@ -140,21 +140,71 @@ def test_wide_fingerprints_find_near_copies(spark):
     assert {3 * n for n in range(60)} <= left and len(left) <= 63
 
 
-@pytest.mark.parametrize("bucket, tile", [(4, 4096), (4, 32), (24, 64)])
-def test_wide_links_in_large_blocks(spark, bucket, tile):
-    rng = np.random.default_rng(tile + bucket)
-    # A common passage: all share the first word. Every third is a copy of another with up to 170 bits changed.
+def _altered(words, rng, lowest, n):
+    """``words`` with ``n`` of its bits from ``lowest`` on changed."""
+    flip = np.zeros(simhash.WORDS * 64, np.uint8)
+    flip[rng.choice(np.arange(lowest, len(flip)), n, replace=False)] = 1
+    return words ^ np.packbits(flip, bitorder="little").view(np.uint64)
+
+
+@pytest.mark.parametrize("tile", [4, 64, 2048])
+@pytest.mark.parametrize("copies", [False, True])
+def test_wide_links_equal_all_pairs_under_a_block(spark, tile, copies):
+    """Unlike classes or many copies under one block, and small blocks besides, whatever the tile."""
+    rng = np.random.default_rng(tile)
     words = rng.integers(0, 2**63, (240, simhash.WORDS), np.int64).astype(np.uint64)
-    for n in range(0, 240, 3):
-        bits = rng.choice(np.arange(64, 1024), 150 + n % 50, replace=False)
-        flip = np.zeros(1024, np.uint8)
-        flip[bits] = 1
-        words[n] = words[(n + 121) % 240] ^ np.packbits(flip, bitorder="little").view(np.uint64)
-    words[:, 0] = words[0, 0]
-    df = spark.createDataFrame([(n, row) for n, row in enumerate(words.view(np.int64).tolist())], "node long, words array<long>")
-    found = {r.node: r.root for r in components.components(simhash.wide_links(df, bucket=bucket, tile=tile)).collect()}
-    roots = _roots(240, lambda i, j: int(np.bitwise_count(words[i] ^ words[j]).sum()) <= simhash.WIDE_DISTANCE)
-    assert [found.get(n, n) for n in range(240)] == roots and 40 < 240 - len(set(roots)) < 80
+    for n in range(1, 240) if copies else range(0, 240, 3):
+        # Copies of one, some further from one another than allowed; or every third a copy of another, some too far.
+        words[n] = _altered(words[0], rng, 0, 60 + n % 80) if copies else _altered(words[(n + 121) % 240], rng, 64, 150 + n % 50)
+    blocks = [[7, 1000 + n // 5, 2000 + n // 5] for n in range(240)]
+    blocks[230:] = [[3000 + n] for n in range(10)]
+    df = spark.createDataFrame([*zip(range(240), words.view(np.int64).tolist(), blocks)], "node long, words array<long>, blocks array<long>")
+    found = {r.node: r.root for r in components.components(simhash.wide_links(df, tile=tile)).collect()}
+    roots = _roots(240, lambda i, j: bool(set(blocks[i]) & set(blocks[j])) and int(np.bitwise_count(words[i] ^ words[j]).sum()) <= simhash.WIDE_DISTANCE)
+    assert [found.get(n, n) for n in range(240)] == roots
+    assert 220 < 240 - len(set(roots)) if copies else 40 < 240 - len(set(roots)) < 80
+
+
+def _copies(rng, vocabulary, n, words, changed):
+    """A text, and ``n`` copies with ``changed`` words replaced."""
+    text = rng.choices(vocabulary, k=words)
+    out = [" ".join(text)]
+    for _ in range(n):
+        copy = list(text)
+        for at in rng.sample(range(words), changed):
+            copy[at] = rng.choice(vocabulary)
+        out.append(" ".join(copy))
+    return out
+
+
+def test_recall_of_near_copies(spark):
+    """Pairs of similarity 0.8 or more by brute force, among small groups and one of far more than a tile of 32."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(3000)]
+    texts = [t for n in range(120) for t in _copies(rng, vocabulary, 2, rng.choice([60, 150, 400]), rng.choice([1, 2, 4]))]
+    texts += _copies(rng, vocabulary, 150, 300, 3)
+    sets = [set(simhash.shingle_hashes(t, 5)) for t in texts]
+    prints = [simhash.wide_fingerprint(t) for t in texts]
+    df = spark.createDataFrame([(n, w.view(np.int64).tolist(), b.view(np.int64).tolist()) for n, (w, b) in enumerate(prints)], "node long, words array<long>, blocks array<long>")
+    for tile in (32, 2048):
+        root = {r.node: r.root for r in components.components(simhash.wide_links(df, tile=tile)).collect()}
+        similar = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+        caught = sum(root.get(i, i) == root.get(j, j) for i, j in similar)
+        assert len(similar) > 2000 and caught >= 0.97 * len(similar)
+        # Small groups alone, as a large group's pairs are joined by one another.
+        few = [(i, j) for i, j in similar if i < 360]
+        assert len(few) > 60 and sum(root.get(i, i) == root.get(j, j) for i, j in few) >= 0.9 * len(few)
+
+
+def test_keep_one_of_null_and_repeated_ids(spark):
+    rng = random.Random(2)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(40))
+    one, two, three = text(), text(), text()
+    rows = [(None, one, "a"), (None, two, "b"), (None, two, "c"), (7, three, "d"), (7, three, "d"), (7, text(), "e"), (9, three, "f"), (None, None, "g"), (4, "", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k_id string").coalesce(1)
+    got = simhash.keep_one(df)
+    kept = [tuple(r) for r in got.collect()]
+    assert got.columns == df.columns and sorted(str(r[:2]) for r in kept) == sorted(str(r) for r in [(None, one), (None, two), (7, three), rows[5][:2], (4, "")])
 
 
 def test_bit_counts():
@@ -292,3 +342,55 @@ def test_templates_do_not_hold_one_another():
         for b, y in licenses.TEMPLATES:
             inside, size = set(licenses.template_words(x)), len(licenses.template_words(y))
             assert a == b or len(inside & set(licenses.template_words(y))) < licenses.needed(size, licenses.THRESHOLD)
+
+
+def _filled(tree, budget):
+    """Budgets of a tree {name: (weight, capacity or subtree)} by filling: shares by weight, what a child cannot fill goes to
+    its siblings."""
+
+    def most(node):
+        return sum(most(c) for w, c in node.values() if w > 0) if isinstance(node, dict) else node
+
+    def give(node, amount, path, out):
+        if not isinstance(node, dict):
+            out[path] = amount
+            return
+        live, left = {k: min(most(c), amount) if w else 0 for k, (w, c) in node.items()}, min(amount, most(node))
+        share, open_ = dict.fromkeys(node, 0.0), {k for k, m in live.items() if m}
+        while left > 1e-9 and open_:
+            total = sum(node[k][0] for k in open_)
+            step = min(left, min((live[k] - share[k]) / node[k][0] for k in open_) * total)
+            for k in open_:
+                share[k] += step * node[k][0] / total
+            left -= step
+            open_ = {k for k in open_ if live[k] - share[k] > 1e-9}
+        for k, (_, c) in node.items():
+            give(c, share[k], (*path, k), out)
+
+    out = {}
+    give(tree, min(budget, most(tree)), (), out)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_budgets_of_random_trees(spark, seed):
+    """Zero weights and empty leaves at all levels; nothing that can be filled is lost."""
+    rng = random.Random(seed)
+    weights = {"domain": {f"d{n}": rng.choice([0, 1, 2]) for n in range(3)}, "lang": {f"l{n}": rng.choice([0, 1, 3]) for n in range(3)}, "source": {f"s{n}": rng.choice([0, 1, 1]) for n in range(3)}}
+    sizes = [(d, x, s, rng.choice([0, 10, 100, 1000])) for d in weights["domain"] for x in weights["lang"] for s in weights["source"] if rng.random() < 0.7]
+    tree = {}
+    for d, x, s, n in sizes:
+        tree.setdefault(d, (weights["domain"][d], {}))[1].setdefault(x, (weights["lang"][x], {}))[1][s] = (weights["source"][s], n)
+    want = _filled(tree, 900)
+    df = spark.createDataFrame(sizes, "domain string, lang string, source string, available long")
+    got = {(r.domain, r.lang, r.source): r.budget for r in mixing.leaf_budgets(df, ["domain", "lang", "source"], weights, F.lit(900), 1).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 3 for k in got)
+    assert sum(got.values()) == round(sum(want.values()))
+
+
+def test_mixture_of_one_id(spark):
+    """All rows with one id, or none: the prefix still comes nearest to the budget."""
+    for own in (None, 5):
+        df = spark.createDataFrame([(own, "w " * 7, "en", "s0")] * 300 + [(own, "w " * 3, "en", "s0")] * 100, "doc_id long, text string, lang string, source string").repartition(5)
+        out = mixing.mix(df, domain=F.lit("d"), weights={}, budget=F.lit(1000), seed=1, carry={"n": F.length("text")}).collect()
+        assert 997 <= sum(r.n_tokens for r in out) <= 1003 and {r.n for r in out} <= {6, 14} and {r.epoch for r in out} == {1}

@@ -7,10 +7,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinframe.operators.storage import discard, shared_dir
 from twinframe.operators.storage import settle as materialise
-from twinframe.operators.storage import shared_dir
 
-__all__ = ["in_batches", "materialise", "remainder", "shared_dir", "without"]
+__all__ = ["discard", "in_batches", "materialise", "remainder", "shared_dir", "without"]
 
 #: Rows of a batch that goes to Python. Texts are kilobytes, so Spark's default of 10,000 takes tens of megabytes for each
 #: task, several times over.

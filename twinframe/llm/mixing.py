@@ -16,6 +16,7 @@ sums are aggregated map-side, and only the range that holds the prefix's end is
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,7 +77,9 @@ def leaf_budgets(sizes: DataFrame, levels: Sequence[str], weights: Mapping[str,
 
     ``sizes`` has the level columns and ``available`` tokens; ``budget`` is a column over ``total`` (all available tokens).
     """
-    leaves = sizes.withColumn("capacity", F.col("available") * max_epochs)
+    # What lies below a weight of 0 cannot be filled, so that its share goes to siblings that can.
+    weighted = [_weight(level, weights.get(level, {})) > 0 for level in levels]
+    leaves = sizes.withColumn("capacity", F.when(reduce(Column.__and__, weighted), F.col("available") * max_epochs).otherwise(0))
     root = leaves.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("total"), F.coalesce(F.sum("capacity"), F.lit(0)).alias("most"))
     root = root.select(F.least(budget.cast("long"), F.col("most")).alias("parent_budget"))
     above, on = root, []
@@ -105,21 +108,25 @@ def mix(
     text_col: str = "text",
     lang_col: str = "lang",
     source_col: str = "source",
+    carry: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """The documents to read: id, domain, lang, source, n_tokens, epoch (from 1), leaf_budget; one row for each reading.
+    """The documents to read: id, domain, lang, source, n_tokens, epoch (from 1), leaf_budget, and the columns ``carry``; one
+    row for each reading.
 
     ``budget`` is a column expression over ``total``, the tokens of the whole table. Null language or source: the leaf
     ``unknown``. Null or empty texts have no tokens; they are read whenever the prefix reaches them, and a leaf
-    without tokens is not read. Rows with equal id are ordered by their size. Null ids count as the empty id. Other columns are not carried. An empty table gives no
-    rows.
+    without tokens is not read. Rows with equal id are ordered by their size, then as they lie. Null ids count as the empty
+    id. Other columns are not carried. An empty table gives no rows.
     """
-    levels = ["domain", "lang", "source"]
+    levels, more = ["domain", "lang", "source"], ["carried.*"] if carry else []
     slim = df.select(
         F.col(id_col).alias("record_id"),
         F.coalesce(domain, F.lit("unknown")).alias("domain"),
         F.coalesce(F.col(lang_col), F.lit("unknown")).alias("lang"),
         F.coalesce(F.col(source_col), F.lit("unknown")).alias("source"),
         n_tokens(text_col).alias("n_tokens"),
+        F.spark_partition_id().alias("lies_in"),
+        *([F.struct(*[c.alias(name) for name, c in carry.items()]).alias("carried")] if carry else []),
     )
     slim = materialise(slim, "mixing-sizes")
     sizes = slim.groupBy(*levels).agg(F.sum("n_tokens").alias("available"))
@@ -141,9 +148,17 @@ def mix(
     placed = slim.join(leaves, levels).withColumn("key", key).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
     # A leaf without an end range has no tokens at all, hence no budget.
     inner = placed.filter(F.col("range") == F.col("end_range"))
-    fits = Window.partitionBy(*levels).orderBy("key", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    after = F.col("before") + F.sum("n_tokens").over(fits)
-    inner = inner.withColumn("partial", (F.col("rest") > 0) & (2 * after - F.col("n_tokens") <= 2 * F.col("rest")))
+    # Rows that agree in key, size and place are one group, so that many rows of one id are no more than a few. The prefix
+    # ends in one group at most.
+    group = [*levels, "key", "n_tokens", "lies_in"]
+    groups = inner.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"), F.first("before").alias("start"), F.first("rest").alias("goal"))
+    upto = Window.partitionBy(*levels).orderBy("key", "n_tokens", "lies_in").rowsBetween(Window.unboundedPreceding, 0)
+    groups = groups.withColumn("start", F.col("start") + F.sum(F.expr("rows * n_tokens")).over(upto) - F.expr("rows * n_tokens"))
+    fit = F.when(F.col("n_tokens") > 0, F.expr("(2 * goal - 2 * start + n_tokens) div (2 * n_tokens)")).when(F.col("start") <= F.col("goal"), F.col("rows"))
+    fit = F.when((F.col("goal") > 0) & (F.expr("2 * goal - 2 * start + n_tokens") >= 0), F.coalesce(fit, F.lit(0)))
+    groups = groups.select(*group, F.least("rows", F.coalesce(fit, F.lit(0))).alias("fit"))
+    within = F.row_number().over(Window.partitionBy(*group).orderBy("record_id"))
+    inner = inner.join(groups, group).withColumn("partial", within <= F.col("fit")).drop("fit")
     outer = placed.filter(F.coalesce(F.col("range") != F.col("end_range"), F.lit(True)))
     outer = outer.withColumn("partial", (F.col("rest") > 0) & (F.col("range") < F.col("end_range")))
     epochs = F.col("whole").cast("int") + F.when(F.col("partial"), 1).otherwise(0)
@@ -151,7 +166,7 @@ def mix(
         outer.unionByName(inner)
         .withColumn("n", epochs)
         .filter(F.col("n") > 0)
-        .select(F.col("record_id").alias(id_col), *levels, "n_tokens", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("epoch"), "leaf_budget")
+        .select(F.col("record_id").alias(id_col), *levels, "n_tokens", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("epoch"), "leaf_budget", *more)
     )
 
 
@@ -191,7 +206,9 @@ OP10_SQL = (
         case when regexp_extract(source, '([0-9]{1,9})$', 1) <> '' then 'domain' || (regexp_extract(source, '([0-9]{1,9})$', 1)::int % 4) else 'unknown' end as domain,
         coalesce(lang, 'unknown') lang, coalesce(source, 'unknown') source,
         coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+')), 0)::bigint n_tokens from documents),
-    leaves as (select domain, lang, source, sum(n_tokens)::bigint available, (2 * sum(n_tokens))::bigint capacity from slim group by all),
+    leaves as (select *, (case when """
+    + " and ".join(f"{_names(level)} > 0" for level in ("domain", "lang", "source"))
+    + """ then 2 * available else 0 end)::bigint capacity from (select domain, lang, source, sum(n_tokens)::bigint available from slim group by all)),
     root as (select least(sum(available)::bigint * 3 // 5, sum(capacity))::bigint parent_budget from leaves),"""
     + _level_sql("domain", ["domain"], "root")
     + ","

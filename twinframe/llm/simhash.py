@@ -8,6 +8,11 @@ Equal fingerprints are folded into one class first, so a group of copies is one
 ``BUCKET`` fingerprints meet is not paired out. For these the join key is every fingerprint at one bit or none from the
 class: at most 65 fingerprints share it, all of them within two bits of one another, and any two within two bits share
 one. That is exact for a distance of two, grows linearly and needs no cap.
+
+Texts that share four fifths of their shingles differ in 15 % of their bits. Blocks of bits that such a pair shares must be
+short, and short blocks are shared by chance, by ever more pairs as the input grows. So for these (``keep_one``,
+``similar_documents``) fingerprints have 1024 bits, and their blocks are made from samples of the shingles instead, which
+two texts share only if they have shingles in common; the distance is verified as before.
 """
 
 from __future__ import annotations
@@ -18,12 +23,13 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from twinframe.llm.common import in_batches, materialise
+from twinframe.llm.common import discard, in_batches, materialise
 from twinframe.llm.components import components
 
 BITS = 64
@@ -122,49 +128,56 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return prints.join(named, "fp").select(F.col("record_id").alias(id_col), "fp", "component_id")
 
 
-#: Words of a wide fingerprint; bits and number of its blocks; bits that may differ (similarity 0.8: 155 of 1024 differ,
-#: with a deviation of 11).
-WORDS, BLOCK_BITS, BLOCK_STARTS = 16, 21, (0, 11, 21, 32, 43)
-WIDE_DISTANCE = 178
-#: Classes that are compared in one piece where more than BUCKET share a block; bounds memory, not what is compared.
-TILE = 4096
-#: Fixed odd numbers by which a hash is mixed, from the golden ratio.
-_MIX = np.array([(0x9E3779B97F4A7C15 * (2 * n + 1)) & (2**64 - 1) | 1 for n in range(WORDS)], np.uint64)
+#: Words of a wide fingerprint; bits that may differ (similarity 0.8: 155 of 1024 differ, with a deviation of 11).
+WORDS, WIDE_DISTANCE = 16, 178
+#: Blocks of a wide fingerprint, and sampled shingles a block. A pair of similarity s shares a block with probability
+#: 1 - (1 - s**SAMPLED)**BLOCKS: 0.99 at 0.8.
+BLOCKS, SAMPLED = 20, 7
+#: Shingles whose bits are counted together: as many as a byte can count.
+ROWS = 255
+#: Classes under one block up to which they are gathered; bounds memory, not what is compared.
+TILE = 2048
+
+
+def _odd(n: int, salt: int) -> np.ndarray:
+    """``n`` fixed odd numbers, from the golden ratio."""
+    return np.array([(0x9E3779B97F4A7C15 * (2 * k + 1 + salt)) & (2**64 - 1) | 1 for k in range(n)], np.uint64)
+
+
+#: By which a hash is mixed for each word, ordered for each sample, and by which a block's samples are summed.
+_MIX, _ORDERS, _SUMS = _odd(WORDS, 0), _odd(BLOCKS * SAMPLED, 1 << 20), _odd(SAMPLED, 1 << 21)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
 
 def _set_bits(x: np.ndarray) -> np.ndarray:
-    """How often each bit of the columns of ``x`` (n x words) is set. Rows are added pairwise as bit-sliced numbers: plane
-    k holds bit k of all counts, so one operation adds 64 counts."""
-    planes = [x]
-    while len(planes[0]) > 1:
-        if len(planes[0]) % 2:
-            planes = [np.concatenate([p, np.zeros((1, p.shape[1]), np.uint64)]) for p in planes]
-        added, carry = [], None
-        for p in planes:
-            a, b = p[0::2], p[1::2]
-            either = a ^ b
-            if carry is None:
-                added.append(either)
-                carry = a & b
-            else:
-                added.append(either ^ carry)
-                carry = a & b | either & carry
-        planes = [*added, carry]
-    bits = [np.unpackbits(np.ascontiguousarray(p).view(np.uint8), bitorder="little").astype(np.int64) for p in planes]
-    return sum(b << k for k, b in enumerate(bits))
-
-
-def wide_fingerprint(text: str | None, width: int = 5) -> bytes:
-    """``WORDS`` x 64 bits; all 0 without words."""
+    """How often each bit of the columns of ``x`` (n x words) is set: bytes are summed, as many rows as a byte can count."""
+    counts = np.zeros(x.shape[1] * BITS, np.int64)
+    for at in range(0, len(x), ROWS):
+        counts += np.add.reduce(np.unpackbits(x[at : at + ROWS].view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return counts
+
+
+def wide_fingerprint(text: str | None, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(words, blocks) of a text: the ``WORDS`` x 64 bits of its SimHash, and the ``BLOCKS`` keys under which it is compared.
+
+    A block is made from ``SAMPLED`` shingles, each the least of the text under an order of its own, so similar texts
+    often draw the same. Without words: all bits 0, and no blocks.
+    """
     hashes = np.array(shingle_hashes(text, width), np.uint64)
-    counts = np.zeros(WORDS * BITS, np.int64)
-    for at in range(0, len(hashes), CHUNK >> 2):
-        x = hashes[at : at + (CHUNK >> 2), None] * _MIX
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(32)
-        counts += _set_bits(x)
-    return np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes()
+    counts, least = np.zeros(WORDS * BITS, np.int64), np.full(len(_ORDERS), ~np.uint64(0))
+    for at in range(0, len(hashes), ROWS):
+        x = hashes[at : at + ROWS, None]
+        counts += _set_bits(_mixed(x * _MIX))
+        least = np.minimum(least, (x * _ORDERS).min(axis=0))
+    words = np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)
+    if not len(hashes):
+        return words, np.zeros(0, np.uint64)
+    keys = (_mixed(least).reshape(BLOCKS, SAMPLED) * _SUMS).sum(axis=1, dtype=np.uint64)
+    return words, _mixed(keys + np.arange(BLOCKS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def near_rows(words: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,41 +201,92 @@ def near_rows(words: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def wide_links(classes: DataFrame, *, distance: int = WIDE_DISTANCE, bucket: int = BUCKET, tile: int = TILE) -> DataFrame:
-    """(a, b): links between classes (node, words: array of longs) that share a block and differ in ``distance`` bits or
-    fewer, enough for the same components.
-
-    Under a block of up to ``bucket`` classes every pair is joined and verified. Larger ones (a common passage, or many
-    copies of one text) are compared whole where they are gathered, ``tile`` classes at a time: a block of more is dealt
-    into parts of half a tile, and each two parts meet in a tile. Only links leave a tile, fewer than it has classes.
+def _compared(members: DataFrame, group: list[str], distance: int) -> DataFrame:
+    """(a, b): the links within each group of ``members`` (group columns, node, words). A group is gathered in one task, so
+    its size must have a bound; groups follow one another in sorted partitions."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def linked(key: np.ndarray, node: np.ndarray, words: np.ndarray, last: bool):
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+            ends = [*starts[1:], len(key)]
+            pairs = []
+            for s, e in [*zip(starts, ends)][: None if last else -1]:
+                a, b = near_rows(words[s:e], distance)
+                pairs.append((node[s:e][a], node[s:e][b]))
+            a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+            out = pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            return out, (key[starts[-1] :], node[starts[-1] :], words[starts[-1] :])
+
+        held = (np.zeros((0, len(group)), np.int64), np.zeros(0, np.int64), np.zeros((0, WORDS), np.uint64))
+        for batch in batches:
+            if batch.num_rows:
+                key = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(len(group))])
+                node = batch.column(len(group)).to_numpy(zero_copy_only=False)
+                words = batch.column(len(group) + 1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WORDS)
+                out, held = linked(*(np.concatenate(x) for x in zip(held, (key, node, words))), False)
+                yield out
+        if len(held[0]):
+            yield linked(*held, True)[0]
+
+    dealt = members.select(*group, "node", "words").repartition(*group).sortWithinPartitions(*group)
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def wide_links(classes: DataFrame, *, distance: int = WIDE_DISTANCE, tile: int = TILE) -> DataFrame:
+    """(a, b): links between classes (node, words, blocks: arrays of longs) that share a block and differ in ``distance`` bits
+    or fewer, enough for the same components.
+
+    Blocks with the same classes are compared once. Up to ``tile`` classes under a block are gathered and compared whole.
+    Larger blocks are compared with their least class first, where they lie: in a group of many copies that links nearly
+    all. What it does not link is compared with the whole block, in tiles of two parts of it. Only links leave a tile,
+    fewer than it has classes. So the work on copies is linear; on unlike classes under one block it is not, but texts that
+    share a part s of their shingles meet in one only with probability s**7.
     """
-    # A key: the word, which block of it, and its bits.
-    blocks = ", ".join(f"((n * {len(BLOCK_STARTS)} + {k}) << {BLOCK_BITS}) | (shiftrightunsigned(w, {at}) & {(1 << BLOCK_BITS) - 1})" for k, at in enumerate(BLOCK_STARTS))
-    keyed = classes.select("node", F.explode(F.expr(f"flatten(transform(words, (w, n) -> transform(array(cast(n as bigint)), n -> array({blocks}))[0]))")).alias("key"))
-    keyed = materialise(keyed, "simhash-blocks")
-    met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    shared = keyed.join(met, "key")
-    few = shared.filter(F.col("m") <= bucket).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
-    every = F.expr(f"flatten(transform(nodes, (a, i) -> transform(slice(nodes, i + 2, {bucket}), b -> struct(a as a, b as b))))")
-    pairs = few.select(F.explode(every).alias("p")).select("p.a", "p.b").distinct()
-    left = classes.select(F.col("node").alias("a"), F.col("words").alias("x"))
-    right = classes.select(F.col("node").alias("b"), F.col("words").alias("y"))
-    differ = F.expr("aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)")
-    pairs = pairs.join(left, "a").join(right, "b").filter(differ <= distance).select("a", "b")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        nodes = group["node"].to_numpy()
-        a, b = near_rows(np.stack(group["words"].to_numpy()).astype(np.int64).view(np.uint64), distance)
-        return pd.DataFrame({"a": np.minimum(nodes[a], nodes[b]), "b": np.maximum(nodes[a], nodes[b])})
-
+    keyed = classes.select("node", F.explode(F.array_distinct("blocks")).alias("key"))
+    met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).filter("m > 1")
+    met = materialise(met.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", "m"), "simhash-blocks")
+    members = keyed.join(met, "key").join(classes.select("node", "words"), "node")
+    members = materialise(members.select("key", "m", "node", "words"), "simhash-members")
+    found = _compared(members.filter(F.col("m") <= tile), ["key"], distance)
+    large = members.filter(F.col("m") > tile)
+    centre = large.groupBy("key").agg(F.min(F.struct("node", "words")).alias("c")).select("key", F.col("c.node").alias("c_node"), F.col("c.words").alias("c_words"))
+    differ = F.expr("aggregate(zip_with(words, c_words, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)")
+    large = materialise(large.join(centre, "key").select("key", "m", "node", "words", "c_node", (differ <= distance).alias("near")), "simhash-large")
+    found = found.unionAll(large.filter("near and node <> c_node").select(F.col("c_node").alias("a"), F.col("node").alias("b")))
+    rest = large.filter("not near").groupBy("key").agg(F.count(F.lit(1)).alias("left_over"))
     half = max(1, tile // 2)
-    many = shared.filter(F.col("m") > bucket)
-    many = many.withColumn("parts", F.when(F.col("m") <= tile, 1).otherwise(F.ceil(F.col("m") / half)).cast("int"))
-    many = many.withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int"))
-    other = F.explode(F.expr("if(parts = 1, array(0), filter(sequence(0, parts - 1), p -> p <> part))"))
-    tiles = many.select("key", "node", "part", other.alias("other")).select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "node")
-    inside = tiles.join(classes.select("node", "words"), "node").groupBy("key", "p", "q").applyInPandas(compare, "a long, b long")
-    return pairs.unionAll(inside).distinct()
+    parts = lambda n: F.ceil(F.col(n) / half).cast("int")
+    open_ = large.join(rest, "key").withColumn("p_parts", parts("left_over")).withColumn("q_parts", parts("m"))
+    part = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    mine = open_.filter("not near").select("key", part("p_parts", "p").alias("p"), F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)).alias("q"), "node", "words")
+    every = open_.select("key", F.explode(F.sequence(F.lit(0), F.col("p_parts") - 1)).alias("p"), part("q_parts", "q").alias("q"), "node", "words")
+    found = found.unionAll(_compared(mine.unionAll(every), ["key", "p", "q"], distance))
+    links = materialise(found.distinct(), "simhash-links")
+    discard(met, members, large)
+    return links
+
+
+def _wide_classes(df: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): every row's id, hash of its text and class; each class's least row (null ids last), words and blocks."""
+
+    @pandas_udf("words array<long>, blocks array<long>")
+    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            both = [wide_fingerprint(t if isinstance(t, str) else None, width) for t in texts]
+            yield pd.DataFrame({"words": [w.view(np.int64) for w, _ in both], "blocks": [b.view(np.int64) for _, b in both]})
+
+    text = F.col(text_col)
+    rows = in_batches(df).select(F.col(id_col).alias("record_id"), F.xxhash64(text).alias("text_hash"), prints(text).alias("found"))
+    rows = materialise(rows.select("record_id", "text_hash", "found.*").withColumn("node", F.xxhash64("words")), "simhash-wide")
+    least = F.min(F.struct(F.col("record_id").isNull().alias("no_id"), "record_id", "text_hash")).alias("least")
+    classes = rows.groupBy("node").agg(least, F.first("words").alias("words"), F.first("blocks").alias("blocks"))
+    return rows, materialise(classes, "simhash-classes")
+
+
+def _named(classes: DataFrame, distance: int) -> DataFrame:
+    """(node, root, least): every class with its component."""
+    roots = components(wide_links(classes.select("node", "words", "blocks"), distance=distance))
+    return classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def similar_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = WIDE_DISTANCE) -> DataFrame:
@@ -230,31 +294,31 @@ def similar_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Nulls, blanks, repeated rows and empty tables as for :func:`near_duplicates`: texts without words are one class.
     """
+    rows, classes = _wide_classes(df, id_col, text_col, width)
+    rooted = _named(classes, distance)
+    names = rooted.groupBy("root").agg(F.min("least").alias("named"))
+    named = rooted.join(names, "root").select("node", F.col("named.record_id").alias("component_id"))
+    return rows.join(named, "node").select(F.col("record_id").alias(id_col), "component_id")
 
-    @pandas_udf("binary")
-    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([wide_fingerprint(t if isinstance(t, str) else None, width) for t in texts], dtype=object)
-
-    found = in_batches(df).select(F.col(id_col).alias("record_id"), prints(F.col(text_col)).alias("fp"))
-    word = lambda n: F.conv(F.hex(F.expr(f"substring(fp, {8 * n + 1}, 8)")), 16, -10).cast("long")
-    found = materialise(found, "simhash-wide")
-    classes = found.groupBy("fp").agg(F.min("record_id").alias("least"))
-    classes = classes.select(F.xxhash64("fp").alias("node"), F.array(*[word(n) for n in range(WORDS)]).alias("words"), "least")
-    classes = materialise(classes, "simhash-classes")
-    roots = components(wide_links(classes.select("node", "words"), distance=distance))
-    rooted = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(named, "root").select("node", "component_id")
-    return found.withColumn("node", F.xxhash64("fp")).join(named, "node").select(F.col("record_id").alias(id_col), "component_id")
 
+def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = WIDE_DISTANCE) -> DataFrame:
+    """One row of each group of near copies: that of least id, null ids last; ties: of least text hash.
 
-def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """The rows of ``df`` whose id names their component: one of each group of near copies. Needs unique ids; rows with a
-    null id go."""
-    groups = similar_documents(df, id_col=id_col, text_col=text_col, width=width)
-    kept = materialise(groups.filter(F.col(id_col) == F.col("component_id")).select(id_col), "simhash-kept")
-    return df.join(kept, id_col, "left_semi").select(*df.columns)
+    Ids may be null or repeat: a row is known by its id and text. Of rows that agree in both one stays, whichever. Texts
+    without words are copies of one another. Columns are those of ``df``, whatever their names. No rows: none.
+    """
+    rows, classes = _wide_classes(df, id_col, text_col, width)
+    kept = _named(classes, distance).groupBy("root").agg(F.min("least").alias("k")).select(F.col("k.record_id").alias("k_id"), F.col("k.text_hash").alias("k_hash"))
+    again = rows.groupBy(F.col("record_id").alias("r_id"), F.col("text_hash").alias("r_hash")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    same = lambda i, h: F.col("k_id").eqNullSafe(F.col(i)) & (F.col("k_hash") == F.col(h))
+    kept = materialise(kept.join(again, same("r_id", "r_hash"), "left").select("k_id", "k_hash", F.col("n").isNotNull().alias("repeats")), "simhash-kept")
+    discard(rows, classes)
+    whole = df.select(F.struct("*").alias("row"), F.col(id_col).alias("r_id"), F.xxhash64(F.col(text_col)).alias("r_hash"))
+    out = whole.join(kept.filter(~F.col("repeats")), same("r_id", "r_hash"), "left_semi").select("row")
+    many = kept.filter("repeats")
+    if not many.isEmpty():
+        out = out.unionAll(whole.join(many, same("r_id", "r_hash"), "left_semi").groupBy("r_id", "r_hash").agg(F.first("row").alias("row")).select("row"))
+    return out.select("row.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
