@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Ends a segment of an order key; sorts below every character of a name.
 END = "\u0001"
+#: Digits of a location's number in an order key: those of the largest int.
+SEQ_DIGITS = 10
 
 
 def extension(path: Column) -> Column:
@@ -43,7 +45,7 @@ def order_key(location_seq: Column, path: Column, is_file: Column) -> Column:
     folders = F.when(is_file, F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
     marked = F.transform(folders, lambda s: F.concat(F.lit("1"), s, F.lit(END)))
     last = F.when(is_file, F.concat(F.lit("0"), F.element_at(parts, -1), F.lit(END))).otherwise("")
-    return F.concat(F.lpad(location_seq.cast("string"), 6, "0"), F.lit(END), F.array_join(marked, ""), last)
+    return F.concat(F.lpad(location_seq.cast("string"), SEQ_DIGITS, "0"), F.lit(END), F.array_join(marked, ""), last)
 
 
 #: Unit names, each 1024 of the one before.
@@ -79,3 +81,18 @@ def size_suffix(value: Column, decimals: int = 1) -> Column:
 def clamp(x: Column) -> Column:
     """Into 0 to 1; null stays null."""
     return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+
+
+def percent(x: Column) -> Column:
+    """A fraction, clamped, as whole per cent, cut off."""
+    return F.floor(clamp(x) * 100).cast("int")
+
+
+def negation(flag: Column) -> Column:
+    """True for false and the other way round; null stays null."""
+    return ~flag
+
+
+def long_date(ts: Column) -> Column:
+    """A time as the long text of its day, in English: Monday, January 5, 2026."""
+    return F.date_format(ts, "EEEE, MMMM d, yyyy")

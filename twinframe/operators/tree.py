@@ -6,10 +6,14 @@ and folder with kind, parent_path, name, depth and ord.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinframe.functions.paths import ancestors, base_name, depth, extension, order_key, parent_path
+from twinframe.functions.paths import END, SEQ_DIGITS, ancestors, base_name, depth, extension, order_key, parent_path
+from twinframe.operators.numbering import number
+from twinframe.operators.storage import settle
 
 FILE, FOLDER = "File", "Folder"
 
@@ -59,9 +63,12 @@ def scan_totals(files: DataFrame, all_folders: DataFrame) -> DataFrame:
     return f.crossJoin(all_folders.agg(F.count(F.lit(1)).alias("folders")))
 
 
-def top_level(files: DataFrame, search_paths: list[str]) -> DataFrame:
-    """The files that lie directly in one of ``search_paths``, with it."""
-    return files.withColumn("search_path", parent_path(F.col("path"))).filter(F.col("search_path").isin(search_paths))
+def top_level(files: DataFrame, search_paths: list[str] | DataFrame) -> DataFrame:
+    """The files that lie directly in one of ``search_paths`` (a list, or a relation with column path), with it."""
+    placed = files.withColumn("search_path", parent_path(F.col("path")))
+    if isinstance(search_paths, list):
+        return placed.filter(F.col("search_path").isin(search_paths))
+    return placed.join(search_paths.select(F.col("path").alias("search_path")), "search_path", "left_semi")
 
 
 #: Attribute bits of hidden and system items.
@@ -76,3 +83,52 @@ def visible(items: DataFrame, attributes: str = "attributes") -> DataFrame:
 def new_locations(requested: DataFrame, known_folders: DataFrame) -> DataFrame:
     """The requested paths (path) that are no folder of the tree yet: exact, case-sensitive; each once."""
     return requested.select("path").distinct().join(known_folders.select("path").distinct(), "path", "left_anti")
+
+
+def collated(nodes: DataFrame, collation: str = "UNICODE") -> DataFrame:
+    """``nodes`` (location_seq, path, kind, ord) with an ``ord`` in which names stand by ``collation``, equals as bytes.
+
+    The distinct names of the tree are numbered once in that order, and each segment of a path is replaced by its number.
+    """
+    parts = F.posexplode(F.split("path", "/")).alias("at", "name")
+    segments = nodes.select("location_seq", "path", "kind", parts)
+    names = segments.select("name").distinct().select("name", F.collate(F.col("name"), collation).alias("as_sorted"))
+    numbered = number(names, ["as_sorted", "name"], "place").select("name", F.lpad(F.col("place").cast("string"), 19, "0").alias("place"))
+    last = F.size(F.split("path", "/")) - 1
+    mark = F.when((F.col("kind") == FILE) & (F.col("at") == last), "0").otherwise("1")
+    keyed = segments.join(numbered, "name").select("location_seq", "path", "kind", "at", F.concat(mark, "place", F.lit(END)).alias("key"))
+    keys = keyed.groupBy("location_seq", "path", "kind").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "key"))), lambda x: x["key"]), "").alias("key"))
+    keys = keys.select("location_seq", "path", "kind", F.concat(F.lpad(F.col("location_seq").cast("string"), SEQ_DIGITS, "0"), F.lit(END), "key").alias("ord"))
+    return nodes.drop("ord").join(keys, ["location_seq", "path", "kind"]).select(*nodes.columns)
+
+
+def map_nodes(nodes: DataFrame, **columns: Column) -> DataFrame:
+    """A visit on the way down: ``columns`` from each node's own columns."""
+    return nodes.withColumns(columns)
+
+
+def tree_fold(nodes: DataFrame, leaf: Mapping[str, Column], up: Mapping[str, Column], empty: Mapping[str, Column]) -> DataFrame:
+    """A visit on the way up: (location_seq, path, and one column for each name) of every folder.
+
+    ``leaf`` gives a file's values from its columns; ``up`` gives a folder's values by aggregates over its children's
+    (their values, kind and name); ``empty`` gives those of a folder without children. ``nodes`` have location_seq, root,
+    path and kind. One aggregation a level of depth, each level written, so that it is computed once.
+    """
+    values = [*leaf]
+    own = nodes.withColumn("parent_path", F.when(F.col("path") != F.col("root"), parent_path(F.col("path")))).withColumn("depth", depth(F.col("path"))).withColumn("name", base_name(F.col("path")))
+    files = own.filter(F.col("kind") == FILE).select("location_seq", "parent_path", "kind", "name", "depth", *[leaf[v].alias(v) for v in values])
+    files = settle(files, "fold-files", ["depth"])
+    folders = settle(own.filter(F.col("kind") == FOLDER).select("location_seq", "path", "parent_path", "kind", "name", "depth"), "fold-folders", ["depth"])
+    below, done = None, None
+    for d in sorted((r["depth"] for r in folders.select("depth").distinct().collect()), reverse=True):
+        children = files.filter(F.col("depth") == d + 1).drop("depth")
+        children = children if below is None else children.unionByName(below)
+        summed = children.groupBy("location_seq", F.col("parent_path").alias("path")).agg(*[up[v].alias(v) for v in values], F.lit(True).alias("any_child"))
+        here = folders.filter(F.col("depth") == d).join(summed, ["location_seq", "path"], "left")
+        found = [F.when(F.col("any_child"), F.col(v)).otherwise(empty[v]).alias(v) for v in values]
+        level = settle(here.select("location_seq", "path", "parent_path", "kind", "name", *found), "fold")
+        below = level.drop("path")
+        done = level if done is None else done.unionByName(level)
+    if done is None:
+        done = folders.select("location_seq", "path", *[empty[v].alias(v) for v in values])
+    return done.select("location_seq", "path", *values)

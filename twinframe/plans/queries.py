@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from twinframe.functions.paths import base_name, clamp, extension, parent_path, size_suffix
+from twinframe.functions.paths import base_name, clamp, extension, long_date, negation, parent_path, percent, size_suffix
 from twinframe.operators import duplicates, merkle, tree
 from twinframe.operators.numbering import number
 from twinframe.operators.session import Session
@@ -49,7 +49,8 @@ def _summed(files: DataFrame) -> DataFrame:
 
 
 def _nodes(files: DataFrame) -> DataFrame:
-    files = settle(_summed(files), "files")
+    """Only contents of shared sizes are hashed."""
+    files = settle(duplicates.gated_checksums(files), "files")
     return merkle.nodes(files, tree.folders(files))
 
 
@@ -105,7 +106,7 @@ def dup_members(spark, sf_dir):
     return duplicates.members(_hashed(spark, sf_dir)).select("path", "size", "checksum", F.col("n").alias("n_copies"))
 
 
-@query(f"with {GATED}, r as (select size, checksum, row_number() over (order by first_path)::int as group_no from d) select group_no, size, path from h join r using (size, checksum)")
+@query(f"with {GATED}, r as (select size, checksum, row_number() over (order by first_path) as group_no from d) select group_no, size, path from h join r using (size, checksum)")
 def dup_group_members(spark, sf_dir):
     hashed = _hashed(spark, sf_dir)
     numbered = number(duplicates.duplicate_groups(hashed), ["first_ord"], "group_no", 1)
@@ -130,7 +131,7 @@ def redundant_copies(spark, sf_dir):
     return duplicates.redundant_copies(hashed).join(first, "first_ord").select("path", "size", "original")
 
 
-@query(f"with {GATED}, r as (select size, checksum, row_number() over (order by first_path)::int as file_group from d) select {LAST.format('path')} as file_name, size as file_size, {UP.format('path')} as folder, file_group from h join r using (size, checksum)")
+@query(f"with {GATED}, r as (select size, checksum, row_number() over (order by first_path) as file_group from d) select {LAST.format('path')} as file_name, size as file_size, {UP.format('path')} as folder, file_group from h join r using (size, checksum)")
 def dup_report(spark, sf_dir):
     hashed = _hashed(spark, sf_dir)
     numbered = number(duplicates.duplicate_groups(hashed), ["first_ord"], "file_group", 1)
@@ -157,7 +158,7 @@ def scan_totals(spark, sf_dir):
     return tree.scan_totals(files, tree.folders(files))
 
 
-@query(f"with {nodes_sql(DOC_FILES, 3)} select (row_number() over (order by ord) - 1)::int as position, kind, path from n")
+@query(f"with {nodes_sql(DOC_FILES, 3)} select row_number() over (order by ord) - 1 as position, kind, path from n")
 def tree_preorder(spark, sf_dir):
     files = trees.doc_files(spark, sf_dir).drop("content")
     folders = tree.folders(files).select("location_seq", "root", "path")
@@ -205,7 +206,7 @@ _LINE = """case when kind = 'File' then 'File,"' || path || '",' || size || ',,"
     else 'Folder,"' || path || '",' || size || ',' || file_count || ',,' || coalesce(ck, '') || ',' || group_id end"""
 
 
-@query(f"with {nodes_sql(DOC_FILES, 3)} select (row_number() over (order by ord) - 1)::int as line_no, {_LINE} as line from g")
+@query(f"with {nodes_sql(DOC_FILES, 3)} select row_number() over (order by ord) - 1 as line_no, {_LINE} as line from g")
 def csv_export_lines(spark, sf_dir):
     found = merkle.group_ids(_nodes(trees.doc_files(spark, sf_dir)))[0]
     return number(csv_tree.lines(found), ["ord"], "line_no").select("line_no", "line")
@@ -225,7 +226,7 @@ def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.unionByName(folders).unionByName(top)
 
 
-_LISTING = """l as (select doc_id as row_number, 'File' as kind, 'docs/' || source || '/' || lang || '/' || (doc_id - doc_id % 2) || '.txt' as path, case when doc_id % 50 = 7 then null else strlen(text)::bigint end as size, null::int as file_count, '.txt' as extension, '' as checksum, (doc_id % 9)::int as group_id from documents
+_LISTING = """l as (select doc_id as row_number, 'File' as kind, 'docs/' || source || '/' || lang || '/' || (doc_id - doc_id % 2) || '.txt' as path, case when doc_id % 50 = 7 then null else strlen(text)::bigint end as size, null::int as file_count, '.txt' as extension, '' as checksum, (doc_id % 9)::bigint as group_id from documents
     union all select -min(doc_id) - 1, 'Folder', case when source = 'src2' then 'docs/' || source else 'docs/' || source || '/' || lang end as p, 0, 1, '', '', -2 from documents where source <> 'src1' group by p
     union all select -1000000000000, 'Folder', 'docs', 0, 0, '', '', -2),
     w as (select * from l where size is not null qualify row_number() over (partition by kind, path order by row_number desc) = 1)"""
@@ -257,13 +258,13 @@ def csv_import_orphans(spark, sf_dir):
     return csv_tree.orphans(_imported(spark, sf_dir)).select(*_CSV_COLUMNS)
 
 
-_SEARCHED = ["docs", "docs/src0/en", "docs/src1/en", "docs/src2/fr"]
-
-
-@query(f"select size, checksum as md5, count(*) as n from ({DOC_FILES}) where {UP.format('path')} in ({', '.join(repr(x) for x in _SEARCHED)}) group by all")
+@query(f"select size, checksum as md5, count(*) as n from ({DOC_FILES}) where {UP.format('path')} in (select 'docs/' || source || '/' || lang from documents) group by all")
 def flat_scan_dups(spark, sf_dir):
-    files = tree.top_level(trees.doc_files(spark, sf_dir), _SEARCHED)
-    return files.groupBy("size", duplicates.content_checksum().alias("md5")).agg(F.count(F.lit(1)).alias("n"))
+    """Every folder that holds documents is searched, not what lies deeper."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    searched = docs.select(F.concat(F.lit("docs/"), "source", F.lit("/"), "lang").alias("path")).distinct()
+    files = tree.top_level(_summed(trees.doc_files(spark, sf_dir)), searched)
+    return files.groupBy("size", F.col("checksum").alias("md5")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select p_brand as folder, p_name || '#' || p_partkey as name, row_number() over (partition by p_brand order by p_name || '#' || p_partkey)::int as position from part where (p_size & 6) = 0")
@@ -300,3 +301,34 @@ def clamp_progress(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", clamp(F.col("l_quantity") / 25 - 0.5).alias("progress"))
 
 
+@query("select o_orderkey, strftime(o_orderdate, '%A, %B %-d, %Y') as day from orders")
+def long_dates(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", long_date(F.col("o_orderdate")).alias("day"))
+
+
+@query("select l_orderkey, l_linenumber, l_quantity, floor(greatest(0.0, least(1.0, l_quantity / 40 - 0.1)) * 100)::int as shown, not (l_quantity > 25) as small from lineitem")
+def progress_percent(spark, sf_dir):
+    q = F.col("l_quantity")
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", percent(q / 40 - 0.1).alias("shown"), negation(q > 25).alias("small"))
+
+
+@query(
+    f"""with f as materialized ({DOC_FILES}), l3 as (select {UP.format('path')} as path, max(size) as largest, 1 as height, count(*) as files from f group by all),
+    l2 as (select {UP.format('path')} as path, max(largest) as largest, max(height) + 1 as height, sum(files) as files from l3 group by {UP.format('path')}),
+    l1 as (select {UP.format('path')} as path, max(largest) as largest, max(height) + 1 as height, sum(files) as files from l2 group by {UP.format('path')})
+    select path, largest, height::int as height, files::bigint as files from (from l1 union all from l2 union all from l3)"""
+)
+def tree_visit(spark, sf_dir):
+    """A visit down (each node's own columns) and up (a folder from its children)."""
+    files = trees.doc_files(spark, sf_dir).drop("content")
+    both = files.select("location_seq", "root", "path", "size", F.lit(tree.FILE).alias("kind")).unionByName(
+        tree.folders(files).select("location_seq", "root", "path", F.lit(None).cast("long").alias("size"), F.lit(tree.FOLDER).alias("kind"))
+    )
+    down = tree.map_nodes(both, largest=F.col("size"), height=F.lit(0), files=F.when(F.col("kind") == tree.FILE, 1).otherwise(0).cast("long"))
+    found = tree.tree_fold(
+        down,
+        {c: F.col(c) for c in ("largest", "height", "files")},
+        {"largest": F.max("largest"), "height": (F.max("height") + 1).cast("int"), "files": F.sum("files")},
+        {"largest": F.lit(None).cast("long"), "height": F.lit(0), "files": F.lit(0).cast("long")},
+    )
+    return found.select("path", "largest", "height", "files")

@@ -79,30 +79,30 @@ def _ord(path: str, is_file: bool) -> str:
     folders = f"{parts}[:-2]" if is_file else parts
     marked = f"coalesce(array_to_string(list_transform({folders}, lambda s: '1' || s || chr(1)), ''), '')"
     last = f" || '0' || {LAST.format(path)} || chr(1)" if is_file else ""
-    return f"lpad(location_seq::varchar, 6, '0') || chr(1) || {marked}{last}"
+    return f"lpad(location_seq::varchar, 10, '0') || chr(1) || {marked}{last}"
 
 
 def nodes_sql(files: str, levels: int) -> str:
     """CTEs f, h, fold_1..fold_n, n, g: nodes and their groups, for trees whose files all lie ``levels`` folders deep."""
     out = [
-        f"f as ({files})",
+        f"f as materialized ({files})",
         "sz as (select size, location_seq, count(*) as c from f group by all)",
         "run as (select size, location_seq, sum(c) over (partition by size order by location_seq) as upto from sz)",
         "sec as (select size, min(location_seq) as second from run where upto > 1 group by size)",
-        "h as (select f.*, case when second is not null then greatest(location_seq, second) end as epoch, case when second is not null then checksum end as ck from f left join sec using (size))",
+        "h as materialized (select f.*, case when second is not null then greatest(location_seq, second) end as epoch, case when second is not null then checksum end as ck from f left join sec using (size))",
     ]
     for d in range(levels, 0, -1):
         below = f"(select location_seq, {UP.format('path')} as parent, {LAST.format('path')} as name, ck, epoch, size, 1 as fc, 0 as dc from h)" if d == levels else f"(select location_seq, {UP.format('path')} as parent, {LAST.format('path')} as name, ck, epoch, size, fc, dc + 1 as dc from fold_{d + 1})"
         out.append(
-            f"fold_{d} as (select location_seq, parent as path, sum(size)::bigint as size, sum(fc)::bigint as fc, sum(dc)::bigint as dc, "
+            f"fold_{d} as materialized (select location_seq, parent as path, sum(size)::bigint as size, sum(fc)::bigint as fc, sum(dc)::bigint as dc, "
             f"case when bool_and(ck is not null) then upper(md5(string_agg(ck, '' order by name))) end as ck, case when bool_and(ck is not null) then greatest(location_seq, max(epoch)) end as epoch from {below} group by location_seq, parent)"
         )
     folds = " union all ".join(f"select * from fold_{d}" for d in range(1, levels + 1))
     out += [
-        f"n as (select location_seq, path, 'File' as kind, size, null::bigint as file_count, null::bigint as folder_count, regexp_extract(path, '([.][^./]+)$', 1) as extension, ck, epoch, {_ord('path', True)} as ord from h"
+        f"n as materialized (select location_seq, path, 'File' as kind, size, null::bigint as file_count, null::bigint as folder_count, regexp_extract(path, '([.][^./]+)$', 1) as extension, ck, epoch, {_ord('path', True)} as ord from h"
         f" union all select location_seq, path, 'Folder', size, fc, dc, null, ck, epoch, {_ord('path', False)} from ({folds}))",
-        "firsts as (select kind, ck, epoch, ord from n where ck is not null qualify row_number() over (partition by kind, ck order by epoch, ord) = 1)",
-        "keys as (select kind, ck, (row_number() over (order by epoch, ord) - 1)::int as group_id from firsts)",
-        "g as (select n.*, coalesce(group_id, case when n.kind = 'File' then -1 else -2 end)::int as group_id from n left join keys on n.kind = keys.kind and n.ck = keys.ck)",
+        "firsts as materialized (select kind, ck, min(lpad(epoch::varchar, 10, '0') || ord) as first_seen from n where ck is not null group by kind, ck)",
+        "keys as materialized (select kind, ck, row_number() over (order by first_seen) - 1 as group_id from firsts)",
+        "g as (select n.*, coalesce(group_id, case when n.kind = 'File' then -1 else -2 end)::bigint as group_id from n left join keys on n.kind = keys.kind and n.ck = keys.ck)",
     ]
     return ", ".join(out)

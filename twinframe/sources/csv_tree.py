@@ -6,17 +6,23 @@ not come back unless ``lenient`` is set, which splits from both ends instead.
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinframe.functions.paths import base_name, order_key, parent_path
 from twinframe.operators.numbering import number
-from twinframe.operators.storage import settle
+from twinframe.operators.storage import settle, shared_dir
 from twinframe.operators.tree import FILE, FOLDER
 
 #: Fixed value: the header of a listing.
 HEADER = "File/Folder,Path,Size,File Count,Extension,MD5,Group"
-COLUMNS = "kind string, path string, size bigint, file_count int, extension string, checksum string, group_id int"
+COLUMNS = "kind string, path string, size bigint, file_count int, extension string, checksum string, group_id bigint"
+
+#: What is said of a listing that cannot be read.
+EMPTY, FEW_HEADINGS, BAD_ROW = "Empty File", "Insufficient number of headings detected", "Error parsing data on row {}"
 
 
 class InvalidFormat(ValueError):
@@ -34,18 +40,33 @@ def lines(nodes: DataFrame) -> DataFrame:
 
 
 def export(nodes: DataFrame, path: str) -> None:
-    """Write the listing as text: the header, then all rows in traversal order (one file; sorted in parallel before)."""
+    """Write the listing as text files in the folder ``path``: the header, then all rows in traversal order, sorted and
+    written in parallel by ranges. The files in the order of their names are the listing."""
     spark = nodes.sparkSession
     head = spark.createDataFrame([("", HEADER)], "ord string, line string")
-    head.unionByName(lines(nodes)).orderBy("ord").select("line").coalesce(1).write.mode("overwrite").text(path)
+    head.unionByName(lines(nodes)).orderBy("ord").select("line").write.mode("overwrite").text(path)
 
 
 def export_file(nodes: DataFrame, path: str) -> None:
-    """The same as one local file of the driver, row by row."""
-    with open(path, "w", encoding="utf-8", newline="\n") as f:
-        f.write(HEADER + "\n")
-        for r in lines(nodes).orderBy("ord").toLocalIterator():
-            f.write(r["line"] + "\n")
+    """The same as one local file of the driver: the parallel files are copied one behind another, as bytes."""
+    spark = nodes.sparkSession
+    with open(path, "wb"):  # an OSError before any work
+        pass
+    parts = f"{shared_dir(spark)}/twinframe/export-{uuid.uuid4().hex}"
+    export(nodes, parts)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(parts)
+    fs = folder.getFileSystem(conf)
+    out = jvm.java.io.FileOutputStream(os.path.abspath(path))
+    try:
+        for name in sorted(s.getPath().getName() for s in fs.listStatus(folder)):
+            if name.startswith("part-"):
+                held = fs.open(jvm.org.apache.hadoop.fs.Path(folder, name))
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(held, out, 1 << 16, False)
+                held.close()
+    finally:
+        out.close()
+        fs.delete(folder, True)
 
 
 def parse(rows: DataFrame, lenient: bool = False) -> DataFrame:
@@ -62,7 +83,7 @@ def parse(rows: DataFrame, lenient: bool = False) -> DataFrame:
     number = lambda k, kind: F.get("f", F.lit(k)).try_cast(kind)
     kind = F.get("f", F.lit(0))
     count = F.when(kind == FOLDER, number(3, "int"))
-    valid = (F.col("n") == 7) & kind.isin(FILE, FOLDER) & number(2, "long").isNotNull() & number(6, "int").isNotNull() & ((kind == FILE) | count.isNotNull())
+    valid = (F.col("n") == 7) & kind.isin(FILE, FOLDER) & number(2, "long").isNotNull() & number(6, "long").isNotNull() & ((kind == FILE) | count.isNotNull())
     return got.select(
         "row_number",
         kind.alias("kind"),
@@ -71,7 +92,7 @@ def parse(rows: DataFrame, lenient: bool = False) -> DataFrame:
         count.alias("file_count"),
         F.get("f", F.lit(4)).alias("extension"),
         F.get("f", F.lit(5)).alias("checksum"),
-        number(6, "int").alias("group_id"),
+        number(6, "long").alias("group_id"),
         F.coalesce(valid, F.lit(False)).alias("valid"),
     )
 
@@ -110,14 +131,14 @@ def read(spark: SparkSession, path: str, lenient: bool = False) -> tuple[DataFra
     text = settle(spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("at")), "listing")
     head = text.orderBy("at").first()
     if head is None:
-        raise InvalidFormat("Empty File")
+        raise InvalidFormat(EMPTY)
     if len(head["line"].split(",")) < 7:
-        raise InvalidFormat("Insufficient number of headings detected")
+        raise InvalidFormat(FEW_HEADINGS)
     numbered = number(text.filter(F.col("at") != head["at"]), ["at"], "row_number", 1)
     parsed = settle(parse(numbered.select("row_number", "line"), lenient), "parsed")
     bad = parsed.filter(~F.col("valid")).agg(F.min("row_number")).first()[0]
     if bad is not None:
-        raise InvalidFormat(f"Error parsing data on row {bad}")
+        raise InvalidFormat(BAD_ROW.format(bad))
     rows = last_wins(parsed.drop("valid"))
     return attached(rows), orphans(rows)
 
