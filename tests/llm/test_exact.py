@@ -51,6 +51,41 @@ def test_edits_recount_little(spark):
     assert r.n_tokens == len(tokens.Counter().encoding.encode_ordinary(want)) and sum(r.leaf_tokens) == r.n_tokens
 
 
+def test_leaves_split_when_a_text_grows():
+    count = tokens.Counter()
+    tree = tokens.TokenTree.build("a few words", count)
+    new = " and many more words" * 1250
+    tree.edit(5, 0, new)
+    before = tree.recounted
+    tree.edit(12_000, 1, "x")
+    text = "a few" + new + " words"
+    text = text[:12_000] + "x" + text[12_001:]
+    assert tree.text() == text and tree.total == len(count.encoding.encode_ordinary(text))
+    assert tree.recounted - before < 4 * tokens.LEAF and len(tree.texts) > 5000 // tokens.LEAF
+
+
+def test_token_query(spark, sf_dir, texts):
+    """The registered query against whole encodings of edited texts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", tokens.seeded_edits("doc_id", "text").alias("todo"))
+    edits, whole = {r.doc_id: r.todo for r in docs.collect()}, tokens.Counter().encoding.encode_ordinary
+    got = queries.QUERIES["op1_token_counts"](spark, sf_dir).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        s = texts[r.doc_id]
+        assert r.n_tokens == len(whole(s))
+        for e in edits[r.doc_id]:
+            s = s[: e.start] + e.replacement + s[e.start + e.length :]
+        assert r.n_tokens_edited == len(whole(s))
+
+
+def test_pieces_query(spark, sf_dir, texts):
+    import sentencepiece
+
+    ref = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_PATH)
+    got = queries.QUERIES["op7_sentencepiece"](spark, sf_dir).collect()
+    assert len(got) == len(texts) and all(r.round_trip and r.ids == ref.encode(texts[r.doc_id]) and r.n_tokens == len(r.ids) for r in got)
+
+
 def test_pieces_equal_the_library(texts):
     import sentencepiece
 
@@ -243,6 +278,19 @@ def test_slot_maps():
         assert max(load) - min(load) < 0.05 * sum(load) / m.shards
 
 
+def test_shards_of_one_repeated_row(spark):
+    """Rows that repeat both id and text are dealt over the shards like others."""
+    rows = [(5, "the same text")] * 3000 + [(n, f"text {n}") for n in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sharding.shard_records(df, 10).collect()
+    load, slots = [0] * 10, [[] for _ in range(10)]
+    for r in got:
+        load[r.shard] += r["size"]
+        slots[r.shard].append(r.position)
+    assert len(got) == 4000 and all(sorted(s) == list(range(len(s))) for s in slots)
+    assert max(load) - min(load) < 0.05 * sum(load) / 10 and max(map(len, slots)) < 600
+
+
 def test_mixture(spark):
     rows = [(n, "w " * 10, "en", f"s{n % 4}") for n in range(400)] + [(1000 + n, "w " * 10, "de", "s4") for n in range(10)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
@@ -394,3 +442,9 @@ def test_mixture_of_one_id(spark):
         df = spark.createDataFrame([(own, "w " * 7, "en", "s0")] * 300 + [(own, "w " * 3, "en", "s0")] * 100, "doc_id long, text string, lang string, source string").repartition(5)
         out = mixing.mix(df, domain=F.lit("d"), weights={}, budget=F.lit(1000), seed=1, carry={"n": F.length("text")}).collect()
         assert 997 <= sum(r.n_tokens for r in out) <= 1003 and {r.n for r in out} <= {6, 14} and {r.epoch for r in out} == {1}
+
+
+def test_quantisation_of_tiny_vectors():
+    v = np.array([[5e-324, 0.0], [1e-310, -3e-311], [1e200, 1e-200]])
+    codes, scale, near, off = neighbours.quantise(v)
+    assert np.isfinite(near).all() and np.isfinite(off).all() and (off <= 1.01 * scale).all() and codes[0, 0] == 1

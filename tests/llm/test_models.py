@@ -123,6 +123,46 @@ def test_toxicity_query(spark, sf_dir):
     assert len(got) == 200 and got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.5)).all()
 
 
+def test_features_by_brute_force(spark):
+    """Means a letter, and the mean likelihood ratio of stretches, from the dictionaries' probabilities."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcde", k=rng.randrange(2, 6))) for _ in range(40)]
+    rows = [(" ".join(rng.choices(words[:30] if y else words[10:], k=20)), y) for y in (0, 1) for _ in range(15)]
+    model, want = toxicity.fit_counts(spark.createDataFrame(rows, "text string, y int")), _kneser_ney(rows)
+    texts = [" ".join(rng.choices(words, k=k)) for k in (30, 3)] + ["ab", None]
+    got = model.features(texts)
+    for text, row in zip(texts, got):
+        codes, _ = chars.coded([text])
+        logs = [want(tuple(codes[i : i + 5])) for i in range(len(codes) - 4)]
+        if not logs:
+            assert (row == 0).all()
+            continue
+        gain = [t - o for t, o in logs]
+        ratios = [math.exp(sum(gain[i : i + toxicity.STRETCH])) for i in range(len(gain))]
+        mean = [sum(x[k] for x in logs) / len(logs) for k in range(2)]
+        assert np.allclose(row, [*mean, math.log(sum(ratios) / len(ratios))], atol=1e-3)
+
+
+def test_profiles_by_brute_force(spark):
+    """The most frequent n-grams of each language, and more languages than are compared at a time."""
+    rng = random.Random(4)
+    rows = [(f"l{n % 600}", " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(1, 5))) for _ in range(6))) for n in range(900)] + [(None, "zzz"), ("l0", None)]
+    got = language.profiles(spark.createDataFrame(rows, "lang string, text string"), depth=30)
+    assert len(got) == 600
+    for lang in ("l0", "l7", "l599"):
+        n = Counter()
+        for x, t in rows:
+            if x == lang and t:
+                s = f" {t} "
+                n.update(s[i : i + k] for k in (1, 2, 3) for i in range(len(s) - k + 1))
+        n.pop(" ")
+        code = lambda g: len(g) << 36 | int("".join(format(0 if c == " " else ord(c), "012b") for c in g), 2)
+        assert got[lang].tolist() == [code(g) for g in sorted(n, key=lambda g: (-n[g], code(g)))[:30]]
+    ranker = language.Ranker(got, 30)
+    pred, _ = ranker.predict([t for _, t in rows[:40]])
+    assert len(ranker.tables) == 10 and sum(p == r[0] for p, r in zip(pred, rows)) > 20
+
+
 def test_letter_codes():
     codes, doc = chars.coded(["Ab,, c", "", None, "É1é"])
     by_doc = defaultdict(list)

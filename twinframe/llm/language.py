@@ -25,8 +25,8 @@ from twinframe.llm.common import in_batches, remainder, without
 
 ORDERS = (1, 2, 3)
 DEPTH = 400
-#: More label values than this are taken for an error of the labels.
-MAX_LANGUAGES = 512
+#: Languages that texts are compared with at a time; bounds memory, not how many there may be.
+TOGETHER = 64
 #: What a text without letters is said to be.
 UNDETERMINED = "und"
 _GRAM_BITS = CODE_BITS * max(ORDERS) + 2
@@ -46,7 +46,11 @@ def _keys(texts: list[str | None], group: np.ndarray | None = None) -> tuple[np.
 
 
 def profiles(df: DataFrame, *, lang_col: str = "lang", text_col: str = "text", depth: int = DEPTH) -> dict[str, np.ndarray]:
-    """The n-grams of each language in ``df``, most frequent first (ties: smaller code). Rows without a language teach nothing."""
+    """The n-grams of each language in ``df``, most frequent first (ties: smaller code). Rows without a language teach nothing.
+
+    Every value of ``lang_col`` is a language, however many there are: ``depth`` numbers of each reach the driver and the
+    tasks.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[str, int] = {}
@@ -71,8 +75,6 @@ def profiles(df: DataFrame, *, lang_col: str = "lang", text_col: str = "text", d
     found: dict[str, list] = {}
     for r in kept.toLocalIterator():
         found.setdefault(r["lang"], []).append((r["rank"], r["gram"]))
-        if len(found) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
     return {lang: np.array([g for _, g in sorted(found[lang])], np.uint64) for lang in sorted(found)}
 
 
@@ -81,10 +83,15 @@ class Ranker:
 
     def __init__(self, by_lang: dict[str, np.ndarray], depth: int = DEPTH):
         self.langs, self.depth = [*by_lang], depth
-        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *by_lang.values()]))
-        self.ranks = np.full((len(self.known) + 1, len(by_lang)), -1, np.int32)
-        for n, g in enumerate(by_lang.values()):
-            self.ranks[np.searchsorted(self.known, g), n] = np.arange(len(g))
+        #: For each ``TOGETHER`` languages: the n-grams that any of them has, and their ranks in each (-1: none).
+        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
+        for at in range(0, len(self.langs), TOGETHER):
+            own = [by_lang[x] for x in self.langs[at : at + TOGETHER]]
+            known = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]))
+            ranks = np.full((len(known) + 1, len(own)), -1, np.int32)
+            for n, g in enumerate(own):
+                ranks[np.searchsorted(known, g), n] = np.arange(len(g))
+            self.tables.append((known, ranks))
 
     def distances(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages) sums of places out, and the number of n-grams ranked in each text."""
@@ -108,13 +115,16 @@ class Ranker:
         rank = np.arange(len(doc)) - np.repeat(starts, sizes)
         top = rank < self.depth
         rank, doc, gram = rank[top], doc[top], gram[order[top]]
-        at = np.searchsorted(self.known, gram)
-        at[at < len(self.known)] = np.where(self.known[at[at < len(self.known)]] == gram[at < len(self.known)], at[at < len(self.known)], len(self.known))
-        theirs = self.ranks[at]
-        off = np.where(theirs < 0, self.depth, np.abs(theirs - rank[:, None]))
         out, ranked = np.zeros((len(texts), len(self.langs)), np.int64), np.bincount(doc, minlength=len(texts))
-        for n in range(len(self.langs)):
-            out[:, n] = np.bincount(doc, off[:, n], len(texts))
+        first = 0
+        for known, ranks in self.tables:
+            at = np.searchsorted(known, gram)
+            at[at < len(known)] = np.where(known[at[at < len(known)]] == gram[at < len(known)], at[at < len(known)], len(known))
+            theirs = ranks[at]
+            off = np.where(theirs < 0, self.depth, np.abs(theirs - rank[:, None]))
+            for n in range(ranks.shape[1]):
+                out[:, first + n] = np.bincount(doc, off[:, n], len(texts))
+            first += ranks.shape[1]
         return out, ranked
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:

@@ -33,10 +33,18 @@ SLACK = 1e-6
 
 def quantise(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(codes, scale, length of the quantised vector, length of the error) of each row; codes are int8 values."""
-    scale = np.abs(vectors).max(axis=1) / 127.0
-    codes = np.rint(vectors / scale[:, None]).astype(np.int8)
+    # So small that a 127th of the largest is 0: its smallest unit instead.
+    scale = np.maximum(np.abs(vectors).max(axis=1) / 127.0, np.nextafter(0.0, 1.0))
+    codes = np.clip(np.rint(vectors / scale[:, None]), -127, 127).astype(np.int8)
     near = codes * scale[:, None]
-    return codes, scale, np.sqrt((near**2).sum(axis=1)), np.sqrt(((vectors - near) ** 2).sum(axis=1))
+    return codes, scale, lengths(near), lengths(vectors - near)
+
+
+def lengths(vectors: np.ndarray) -> np.ndarray:
+    """The length of each row, also of rows whose squares would vanish or overflow."""
+    most = np.abs(vectors).max(axis=1)
+    unit = np.where(most > 0, most, 1.0)
+    return unit * np.sqrt(((vectors / unit[:, None]) ** 2).sum(axis=1))
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -48,14 +56,14 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
     """For each query its k best (-score, id) in this block of candidates, best first; ids equal to the query's are left out."""
     q_codes, q_scale, q_near, q_off = quantise(q)
-    q_len = np.sqrt((q**2).sum(axis=1))
+    q_len = lengths(q)
     best: list[list[tuple[float, int]]] = [[] for _ in q_ids]
     floor = np.full(len(q_ids), -np.inf)
     for at in range(0, len(c_ids), STEP):
         ids, block = c_ids[at : at + STEP], c[at : at + STEP]
         codes, scale, near, off = quantise(block)
         about = _product(q_codes, codes) * (q_scale[:, None] * scale)
-        length = np.sqrt((block**2).sum(axis=1))
+        length = lengths(block)
         wide = q_near[:, None] * off + q_off[:, None] * length + SLACK * q_len[:, None] * length
         own = q_ids[:, None] == ids
         lower = np.where(own, -np.inf, about - wide)

@@ -34,6 +34,8 @@ MARK = "▁"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words and pairs of pieces remembered in a worker.
 WORDS, PAIRS = 250_000, 300_000
+#: Characters of the words remembered.
+WORD_CHARS = 1 << 23
 #: Characters whose distinct words are sorted together.
 TOGETHER = 1 << 20
 
@@ -52,6 +54,7 @@ class Pieces:
         self.low = min((scores[n] for n in self.ids.values()), default=0.0) - 10.0
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, list[int]] = {}
+        self.held = 0
         # A node: the nodes below it by character, and the id of the piece that ends here or -1.
         self.trie: dict[str, list] = {}
         for p, n in self.ids.items():
@@ -190,9 +193,12 @@ class Pieces:
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """The ids of each text; none for a null or empty one."""
         split = [self.split.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.words) > WORDS:
+        if len(self.words) > WORDS or self.held > WORD_CHARS:
             self.words.clear()
-        self._learn({w for ws in split for w in ws}.difference(self.words))
+            self.held = 0
+        new = {w for ws in split for w in ws}.difference(self.words)
+        self._learn(new)
+        self.held += sum(map(len, new))
         words, out = self.words, []
         for ws in split:
             ids: list[int] = []
@@ -241,6 +247,10 @@ def load(path: str, kind: str | None = None) -> Pieces:
     )
 
 
+#: No column of a caller is called so.
+_TEXT = "\u0001text"
+
+
 def encode(df: DataFrame, *, keep: list[str], text_col: str = "text", model_path: str = MODEL_PATH, kind: str | None = None, check: bool = True) -> DataFrame:
     """The columns ``keep`` of ``df``, with ids, n_tokens and round_trip (decoding gives the text back; null if ``check`` is off).
 
@@ -248,8 +258,8 @@ def encode(df: DataFrame, *, keep: list[str], text_col: str = "text", model_path
     for a space, so such a text does not round trip. Columns of the input that are called like the new ones are replaced.
     """
     keep = [c for c in keep if c.lower() not in ("ids", "n_tokens", "round_trip")]
-    rows = in_batches(df).select(*[F.col(c) for c in keep], F.col(text_col).alias("_text"))
-    schema = rows.drop("_text").schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", T.IntegerType()).add("round_trip", T.BooleanType())
+    rows = in_batches(df).select(*[F.col(c) for c in keep], F.col(text_col).alias(_TEXT))
+    schema = T.StructType(rows.schema.fields[:-1]).add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", T.IntegerType()).add("round_trip", T.BooleanType())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model_path, kind)
@@ -270,7 +280,7 @@ def encode(df: DataFrame, *, keep: list[str], text_col: str = "text", model_path
 
 
 def decode(df: DataFrame, *, ids_col: str = "ids", text_col: str = "text", model_path: str = MODEL_PATH) -> DataFrame:
-    """``df`` with ``text_col``, the text of the ids (null ids: null)."""
+    """``df`` with ``text_col``, the text of the ids (null ids: null); an input column of that name is replaced."""
 
     @F.pandas_udf("string")
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from twinframe.llm.common import shared_dir
+from twinframe.llm.common import materialise, shared_dir
 
 #: Virtual slots; fixed for the life of a dataset. A slot holds about 1/8192 of the rows, whatever the input.
 SLOTS = 8192
@@ -114,6 +114,18 @@ def slot_totals(records: DataFrame, slots: int = SLOTS) -> tuple[list[int], list
     return size, rows
 
 
+def hot_slots(rows: list[int], slots: int) -> tuple[list[tuple[int, int, int]], int]:
+    """(slot, its first part, number of parts) of each slot with several times the mean of rows (chance alone does not make
+    one), and the number of slots with those parts. A part has about the mean; there are fewer parts than slots."""
+    mean, split, every = sum(rows) / slots, [], slots
+    for slot, n in enumerate(rows):
+        if n > 4 * mean + 16:
+            parts = int(n // (mean + 4)) + 1
+            split.append((slot, every, parts))
+            every += parts
+    return split, every
+
+
 def store(spark: SparkSession, maps: list[SlotMap], path: str) -> DataFrame:
     """Write map versions as a table (version, virtual_slot, shard) and read it back."""
     rows = [(m.version, s, o) for m in maps for s, o in enumerate(m.owner)]
@@ -128,7 +140,8 @@ def shard_records(df: DataFrame, shards: int, *, id_col: str = "doc_id", text_co
     (gapless from 0 within the shard). Other columns of the input are not carried.
 
     Null text: size 16, crc32 of no bytes (0). Null ids hash by their text. Rows equal in id and text share a slot, in
-    either order. An empty table gives no rows. Very long texts are measured, never cut.
+    either order, unless they are so many that the slot is far above the mean: such a slot is split into further ones, by
+    where its rows lie. An empty table gives no rows. Very long texts are measured, never cut.
     """
     spark = df.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -136,9 +149,17 @@ def shard_records(df: DataFrame, shards: int, *, id_col: str = "doc_id", text_co
         F.col(id_col).alias("record_id"),
         (F.octet_length(text) + RECORD_OVERHEAD).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.monotonically_increasing_id().alias("lies_at"),
     ).withColumn("virtual_slot", virtual_slot("record_id", "text_crc32", slots=slots))
+    records = materialise(records, "shard-records")
     size, rows = slot_totals(records, slots)
-    first = SlotMap.initial(shards, slots)
+    split, every = hot_slots(rows, slots)
+    if split:
+        hot = F.broadcast(spark.createDataFrame(split, "virtual_slot int, first_part int, parts int"))
+        apart = F.col("first_part") + F.pmod(F.xxhash64("lies_at"), F.col("parts")).cast("int")
+        records = records.join(hot, "virtual_slot", "left").withColumn("virtual_slot", F.coalesce(apart, "virtual_slot")).drop("first_part", "parts")
+        size, rows = slot_totals(records, every)
+    first = SlotMap.initial(shards, every)
     current = first.rebalance(size)
     stored = store(spark, [first, current], map_path or f"{shared_dir(spark)}/twinframe/slot-map-{uuid.uuid4().hex}")
     start, seen = [], [0] * shards
@@ -147,7 +168,7 @@ def shard_records(df: DataFrame, shards: int, *, id_col: str = "doc_id", text_co
         seen[shard] += rows[slot]
     offsets = spark.createDataFrame(list(enumerate(start)), "virtual_slot int, first_row long")
     owner = stored.filter(F.col("version") == current.version).join(F.broadcast(offsets), "virtual_slot")
-    place = Window.partitionBy("virtual_slot").orderBy("record_id", "text_crc32")
+    place = Window.partitionBy("virtual_slot").orderBy("record_id", "text_crc32", "lies_at")
     return records.withColumn("in_slot", F.row_number().over(place)).join(F.broadcast(owner), "virtual_slot").select(
         F.col("record_id").alias(id_col),
         "size",

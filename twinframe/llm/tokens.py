@@ -32,8 +32,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LEAF = 64
 #: A match of the pattern depends on no more characters behind its end than this.
 LOOK_AHEAD = 2
-#: Pre-tokens whose counts a worker remembers.
-REMEMBERED = 200_000
+#: Pre-tokens whose counts a worker remembers, and their characters; both bound memory.
+REMEMBERED, REMEMBERED_CHARS = 200_000, 1 << 23
 
 
 class Counter:
@@ -45,13 +45,16 @@ class Counter:
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.cut = regex.compile(pattern).findall
         self.known: dict[str, int] = {}
+        self.held = 0
 
     def counts(self, pre_tokens: list[str]) -> list[int]:
         known = self.known
-        if len(known) > REMEMBERED:
+        if len(known) > REMEMBERED or self.held > REMEMBERED_CHARS:
             known.clear()
+            self.held = 0
         for p in set(pre_tokens).difference(known):
             known[p] = len(self.encoding.encode_ordinary(p))
+            self.held += len(p)
         return [known[p] for p in pre_tokens]
 
 
@@ -65,12 +68,16 @@ class TokenTree:
 
     def __init__(self, texts: list[str], tokens: list[int], count: Counter):
         self.texts, self.count, self.recounted = texts, count, 0
-        self.width = 1
+        self._plant(list(tokens))
+
+    def _plant(self, tokens: list[int]) -> None:
+        """The tree over the leaves."""
+        texts, self.width = self.texts, 1
         while self.width < len(texts):
             self.width *= 2
         pad = [0] * (self.width - len(texts))
         self.chars = [0] * self.width + [len(t) for t in texts] + pad
-        self.tokens = [0] * self.width + list(tokens) + pad
+        self.tokens = [0] * self.width + tokens + pad
         for n in range(self.width - 1, 0, -1):
             self.chars[n] = self.chars[2 * n] + self.chars[2 * n + 1]
             self.tokens[n] = self.tokens[2 * n] + self.tokens[2 * n + 1]
@@ -148,8 +155,16 @@ class TokenTree:
             region, high = region + context, beyond - 1
         n = self.count.counts(cut)
         self.recounted += len(cut)
-        # The new pre-tokens are dealt over the leaves they replace.
         leaves = high - low + 1
+        if len(cut) > 2 * LEAF * leaves:
+            # More than the leaves should hold: they are split, and the tree grows.
+            parts = [slice(k, k + LEAF) for k in range(0, len(cut), LEAF)]
+            tokens = self.tokens[self.width : self.width + len(self.texts)]
+            tokens[low : high + 1] = [sum(n[p]) for p in parts]
+            self.texts[low : high + 1] = ["".join(cut[p]) for p in parts]
+            self._plant(tokens)
+            return
+        # The new pre-tokens are dealt over the leaves they replace.
         per = max(1, -(-len(cut) // leaves))
         for k in range(leaves):
             part = slice(k * per, (k + 1) * per)

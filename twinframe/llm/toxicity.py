@@ -4,8 +4,7 @@ Two models over letters, toxic and ordinary, predict each letter from the four b
 and gives what the discount frees to the next shorter context, by its own continuation counts (in how many contexts a gram
 was seen) down to three letters. Below that both share one distribution, of the continuation counts of both classes
 together, so that what is rare in either weighs the same on both sides. A text's log-likelihoods are compared per letter,
-over the whole text, its most telling stretch and its most telling blocks, and a logistic function turns the differences
-into a score.
+over the whole text and over its stretches, and a logistic function turns the two differences into a score.
 
 Counts are made in the tasks over all labelled rows and summed in one shuffle; all probabilities are joins and sums of the
 counts. The model that reaches the tasks holds every n-gram that was counted, so it grows with the distinct n-grams of the
@@ -33,10 +32,8 @@ SHARED = 2
 DISCOUNT = 0.75
 #: Rows of the model's tables that one job sends to the driver, about; a table is fetched in as many jobs as it takes.
 FETCHED = 1 << 21
-#: Letters of the stretch that is compared besides the whole text.
+#: Letters of the stretches that are compared besides the whole text.
 STRETCH = 16
-#: So many blocks of that length, the most telling, are averaged.
-BLOCKS = 3
 #: Labelled rows that fit the logistic function, at most (those of least hash).
 CALIBRATION_ROWS = 20_000
 #: Up to so many labels they are broadcast to the texts; beyond, both are shuffled.
@@ -108,9 +105,13 @@ class Model:
         return self._logs(gram, ORDER), doc
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """(texts x 5): mean toxic and ordinary log-likelihood a letter, the largest mean difference over a stretch, that of
-        the most telling blocks, and the log of the letters; zeros for a text of under five letters."""
-        out = np.zeros((len(texts), 5))
+        """(texts x 3): mean toxic and ordinary log-likelihood a letter, and the log of the mean likelihood ratio of the text's
+        stretches (of ``STRETCH`` letters, one from each letter on, cut at the end); zeros for a text of under five letters.
+
+        The mean over stretches is that of a text with one toxic stretch, wherever it stands: unlike the largest, it does
+        not rise with the text's length.
+        """
+        out = np.zeros((len(texts), 3))
         for s in chunks(texts):
             part = out[s]
             logs, doc = self.logs(texts[s])
@@ -122,21 +123,12 @@ class Model:
                 part[has, k] = np.bincount(doc, logs[:, k], len(part))[has] / n[has]
             gain = np.r_[0.0, np.cumsum((logs[:, 0] - logs[:, 1]).astype(np.float64))]
             ends = np.cumsum(n)
-            starts = ends - n
-            # A stretch starts at each letter and is cut where its text ends.
             first = np.arange(len(doc))
-            last = np.minimum(first + STRETCH, ends[doc])
-            mean = (gain[last] - gain[first]) / STRETCH
-            part[has, 2] = np.maximum.reduceat(mean, starts[has])
-            block = np.r_[True, ((first - starts[doc]) % STRETCH == 0)[1:]]
-            at = np.flatnonzero(block)
-            sums = (gain[np.r_[at[1:], len(doc)]] - gain[at]) / STRETCH
-            order = np.lexsort((-sums, doc[at]))
-            sums, of = sums[order], doc[at][order]
-            begins = np.searchsorted(of, np.arange(len(part)))
-            best = np.arange(len(of)) - begins[of] < BLOCKS
-            part[:, 3] = np.bincount(of[best], sums[best], len(part)) / np.maximum(np.bincount(of[best], minlength=len(part)), 1)
-            part[has, 4] = np.log1p(n[has])
+            ratio = gain[np.minimum(first + STRETCH, ends[doc])] - gain[first]
+            most = np.zeros(len(part))
+            most[has] = np.maximum.reduceat(ratio, (ends - n)[has])
+            total = np.bincount(doc, np.exp(ratio - most[doc]), len(part))
+            part[has, 2] = most[has] + np.log(total[has] / n[has])
         return out
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -146,8 +138,7 @@ class Model:
 
 
 def _design(f: np.ndarray) -> np.ndarray:
-    size = f[:, 4]
-    return np.column_stack([np.ones(len(f)), 10 * (f[:, 0] - f[:, 1]), 4 * f[:, 2], 4 * f[:, 3], size, f[:, 2] * size, f[:, 3] * size])
+    return np.column_stack([np.ones(len(f)), 10 * (f[:, 0] - f[:, 1]), f[:, 2]])
 
 
 def _fit_logistic(f: np.ndarray, y: np.ndarray, penalty: float = 0.05) -> np.ndarray:
@@ -257,14 +248,14 @@ def fit(rows: DataFrame, *, calibration_rows: int = CALIBRATION_ROWS) -> Model:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = shipped.value.features(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*[pa.array(f[:, k]) for k in range(5)], b.column(1).cast(pa.int32())], names=["a", "b", "c", "d", "e", "y"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(f[:, k]) for k in range(3)], b.column(1).cast(pa.int32())], names=["a", "b", "c", "y"])
 
-    got = sample.select("text", "y").mapInArrow(measure, "a double, b double, c double, d double, e double, y int").limit(calibration_rows).toPandas()
+    got = sample.select("text", "y").mapInArrow(measure, "a double, b double, c double, y int").limit(calibration_rows).toPandas()
     y = (got["y"].to_numpy() > 0).astype(float)
     if 0 < y.sum() < len(y):
-        weights = _fit_logistic(got[["a", "b", "c", "d", "e"]].to_numpy(), y)
+        weights = _fit_logistic(got[["a", "b", "c"]].to_numpy(), y)
     elif len(y):
-        weights = np.array([6.0 if y[0] else -6.0, 0, 0, 0, 0, 0, 0])
+        weights = np.array([6.0 if y[0] else -6.0, 0, 0])
     else:
         return model
     shipped.unpersist()
@@ -275,7 +266,7 @@ def fit(rows: DataFrame, *, calibration_rows: int = CALIBRATION_ROWS) -> Model:
 
 
 def score(df: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """``df`` with toxicity (0 to 1), toxic_log, ordinary_log (per letter) and peak (the most telling stretch); input
+    """``df`` with toxicity (0 to 1), toxic_log, ordinary_log (per letter) and peak (the stretches); input
     columns of these names are replaced.
 
     Null, empty and letterless texts have no evidence: both logs 0, and the score is that of no evidence. If there were
