@@ -157,6 +157,27 @@ def test_components_of_a_long_chain(spark):
     assert {r.root for r in got if r.node <= 300} == {0} and {r.root for r in got if r.node >= 900} == {900}
 
 
+def test_components_of_hubs(spark):
+    """Two stars whose centres are the largest and a middle node, linked by one edge, beside many pairs."""
+    stars = [(9000, n) for n in range(1, 1500)] + [(n, 5000) for n in range(5001, 6500)] + [(1, 5000)]
+    pairs = [(20000 + 2 * n, 20001 + 2 * n) for n in range(2000)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(stars + pairs, "a long, b long")).collect()}
+    want = {x: 1 for p in stars for x in p} | {x: min(p) for p in pairs for x in p}
+    assert got == want
+
+
+def test_with_group_is_the_join(spark):
+    """Groups above and below the bound, one with a third of all rows, keys without a group and null keys."""
+    rows = [(k, n) for n, k in enumerate([7] * 1500 + [*range(100, 3000)] + [8, 8, 8, -1, -1, None])]
+    df = spark.createDataFrame(rows, "k long, v long")
+    groups = df.filter("k >= 0").groupBy("k").agg(F.min("v").alias("least"), F.count(F.lit(1)).alias("n"))
+    got = components.with_group(df, groups, "k", len(rows))
+    assert got.columns == ["k", "v", "least"]
+    want = df.join(groups.drop("n"), "k").select("k", "v", "least")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert components.with_group(df.limit(0), groups.limit(0), "k", 0).count() == 0
+
+
 def test_wide_fingerprints_find_near_copies(spark):
     rng = random.Random(5)
     vocabulary = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(3000)]

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from twinframe.llm.common import discard, in_batches, materialise
-from twinframe.llm.components import components
+from twinframe.llm.components import components, with_group
 
 BITS = 64
 HASH_SEED = 42
@@ -120,12 +120,18 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     component of null ids alone has none. Repeated rows give repeated rows. No rows: none. Other columns are not carried.
     """
     prints = materialise(fingerprints(df, id_col=id_col, text_col=text_col, width=width), "simhash-prints")
-    classes = materialise(prints.groupBy("fp").agg(F.min("record_id").alias("least")), "simhash-classes")
+    classes = materialise(prints.groupBy("fp").agg(F.min("record_id").alias("least"), F.count(F.lit(1)).alias("copies")), "simhash-classes")
     roots = components(links(classes.select("fp")))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(F.col("record_id").alias(id_col), "fp", "component_id")
+    named = _with_name(rooted, F.min("least").alias("component_id")).select("fp", "component_id", F.col("copies").alias("n"))
+    named = materialise(named, "simhash-named")
+    return with_group(prints, named, "fp", prints.count()).select(F.col("record_id").alias(id_col), "fp", "component_id")
+
+
+def _with_name(rooted: DataFrame, name: Column) -> DataFrame:
+    """Classes with an aggregate ``name`` of their component; a component may hold most of them."""
+    rooted = materialise(rooted, "simhash-rooted")
+    return with_group(rooted, rooted.groupBy("root").agg(name, F.count(F.lit(1)).alias("n")), "root", rooted.count())
 
 
 #: Words of a wide fingerprint; bits that may differ (similarity 0.8: 155 of 1024 differ, with a deviation of 11).
@@ -296,9 +302,9 @@ def similar_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     rows, classes = _wide_classes(df, id_col, text_col, width)
     rooted = _named(classes, distance)
-    names = rooted.groupBy("root").agg(F.min("least").alias("named"))
-    named = rooted.join(names, "root").select("node", F.col("named.record_id").alias("component_id"))
-    return rows.join(named, "node").select(F.col("record_id").alias(id_col), "component_id")
+    named = _with_name(rooted, F.min("least").alias("named")).select("node", F.col("named.record_id").alias("component_id"))
+    named = materialise(named.join(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "node"), "simhash-named")
+    return with_group(rows.select("record_id", "node"), named, "node", rows.count()).select(F.col("record_id").alias(id_col), "component_id")
 
 
 def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = WIDE_DISTANCE) -> DataFrame:
