@@ -50,6 +50,7 @@ class Pieces:
         self.bytes_of = {i: b for b, i in byte_ids.items()}
         self.special = set(special) | {unknown_id}
         skip = self.special | set(self.bytes_of)
+        self.texts = {n: "" if n in self.special else p for n, p in enumerate(pieces) if n not in self.bytes_of}
         self.ids = {p: n for n, p in enumerate(pieces) if n not in skip}
         self.low = min((scores[n] for n in self.ids.values()), default=0.0) - 10.0
         self.pairs: dict[int, bool] = {}
@@ -209,6 +210,11 @@ class Pieces:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``: marks become spaces, the leading one goes; bytes that are no text become U+FFFD."""
+        try:
+            return self._unmarked("".join([self.texts[i] for i in ids]))
+        except KeyError:
+            # Some are bytes.
+            pass
         out, run = [], bytearray()
         for i in ids:
             b = self.bytes_of.get(i)
@@ -222,7 +228,11 @@ class Pieces:
                 out.append(self.pieces[i])
         if run:
             out.append(run.decode("utf-8", "replace"))
-        text = "".join(out).replace(MARK, " ")
+        return self._unmarked("".join(out))
+
+    @staticmethod
+    def _unmarked(text: str) -> str:
+        text = text.replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -275,6 +285,7 @@ def encode(df: DataFrame, *, keep: list[str], text_col: str = "text", model_path
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "ids", "n_tokens", "round_trip"])
         # The worker lives on; what this task remembered need not.
         pieces.words.clear()
+        pieces.held = 0
 
     return rows.mapInArrow(work, schema)
 
