@@ -96,6 +96,36 @@ def test_pieces_equal_the_library(texts):
     assert [own.decode(x) for x in own.encode(some)] == some
 
 
+@pytest.mark.parametrize("bound, held", [(4, 1 << 23), (300, 1 << 23), (10**6, 100), (300, 5000)])
+def test_pieces_when_little_is_remembered(monkeypatch, texts, bound, held):
+    own, some = pieces.load(pieces.MODEL_PATH), [*texts.values(), None, "", "  a  b ", "\n"]
+    want = own.encode(some)
+    monkeypatch.setattr(pieces, "WORDS", bound)
+    monkeypatch.setattr(pieces, "WORD_CHARS", held)
+    own.forget()
+    for n in range(0, len(some), 7):
+        assert own.encode(some[n : n + 7]) == want[n : n + 7]
+        assert len(own.words) == len(own.begin) == len(own.size) == len(own.uses) and own.held == sum(map(len, own.words))
+    own._tidy()
+    assert len(own.words) <= bound and own.held <= held
+    assert own.encode([]) == [] and own.encode([None, ""]) == [[], []]
+
+
+def test_pieces_decode_bytes_that_are_no_text():
+    own, rng = pieces.load(pieces.MODEL_PATH), random.Random(5)
+    for _ in range(1500):
+        ids = [rng.choice([rng.choice(list(own.bytes_of)), rng.choice(sorted(own.special)), rng.randrange(len(own.pieces))]) for _ in range(rng.randrange(9))]
+        text, run = "", b""
+        for i in [*ids, None]:
+            if i in own.bytes_of:
+                run += bytes([own.bytes_of[i]])
+            else:
+                text += run.decode("utf-8", "replace") + ("" if i is None or i in own.special else own.pieces[i])
+                run = b""
+        text = text.replace(pieces.MARK, " ")
+        assert own.decode(ids) == text.removeprefix(" ")
+
+
 def test_viterbi_is_the_best_sum(texts):
     """The same pieces and scores as a unigram model, against all segmentations of short words."""
     own = pieces.load(pieces.MODEL_PATH, "unigram")

@@ -16,12 +16,15 @@ One pass over the texts, without a shuffle. What is remembered is bounded, whate
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +43,25 @@ WORD_CHARS = 1 << 23
 TOGETHER = 1 << 20
 
 
+def _runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions of all runs, one behind another; each has its ``size`` and begins at its ``begin``."""
+    till = np.cumsum(size)
+    return np.repeat(begin - till + size, size) + np.arange(till[-1] if len(till) else 0)
+
+
+class Numbered(dict):
+    """Words by number; one that is looked up for the first time gets the next, and joins ``fresh``."""
+
+    def __init__(self, words: list[str] = ()):
+        super().__init__(zip(words, range(len(words))))
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class Pieces:
     """A vocabulary: pieces, scores, byte pieces, and the kind of model (``bpe`` or ``unigram``)."""
 
@@ -50,12 +72,12 @@ class Pieces:
         self.bytes_of = {i: b for b, i in byte_ids.items()}
         self.special = set(special) | {unknown_id}
         skip = self.special | set(self.bytes_of)
-        self.texts = {n: "" if n in self.special else p for n, p in enumerate(pieces) if n not in self.bytes_of}
+        # What each id stands for, as bytes: nothing for a special one.
+        self.coded = pa.array([b"" if n in self.special else bytes([self.bytes_of[n]]) if n in self.bytes_of else p.encode() for n, p in enumerate(pieces)], pa.binary())
         self.ids = {p: n for n, p in enumerate(pieces) if n not in skip}
         self.low = min((scores[n] for n in self.ids.values()), default=0.0) - 10.0
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, list[int]] = {}
-        self.held = 0
+        self.forget()
         # A node: the nodes below it by character, and the id of the piece that ends here or -1.
         self.trie: dict[str, list] = {}
         for p, n in self.ids.items():
@@ -184,56 +206,95 @@ class Pieces:
             last.append(best[2])
             nodes.append(living)
 
-    def _learn(self, new: set[str]) -> None:
-        plain = sorted(w for w in new if not (self.kind == "bpe" and w.startswith(MARK * 2)))
-        self.words.update(self.forward(plain))
-        for w in new.difference(plain):
-            # Runs of marks share one score, so that order decides: merged outright.
-            self.words[w] = [i for p in self.merged(w) for i in self._ids(p)]
+    def forget(self) -> None:
+        """Drops the words remembered. The ids of word n lie in ``pool``, ``size[n]`` of them from ``begin[n]`` on."""
+        self.words, self.pool = Numbered(), array("i")
+        self.begin = self.size = self.uses = np.zeros(0, np.int64)
+        self.held = 0
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        """The ids of each text; none for a null or empty one."""
+    def _tidy(self) -> None:
+        """Beyond what may be remembered, only words used more than once stay, the most used half at most."""
+        if len(self.words) <= WORDS and self.held <= WORD_CHARS:
+            return
+        least = max(1, int(np.partition(self.uses, -(WORDS // 2))[-(WORDS // 2)])) if len(self.uses) > WORDS // 2 else 1
+        stay = self.uses > least
+        words = [w for w, s in zip(self.words, stay.tolist()) if s]
+        held, pool = sum(map(len, words)), np.frombuffer(self.pool, np.int32)
+        begin, size, uses = self.begin[stay], self.size[stay], self.uses[stay]
+        self.forget()
+        if held <= WORD_CHARS // 2:
+            self.words, self.held, self.size, self.uses = Numbered(words), held, size, uses // 2
+            self.begin = np.cumsum(size) - size
+            self.pool.frombytes(pool[_runs(begin, size)].tobytes())
+
+    def _learn(self) -> None:
+        """The ids of the fresh words."""
+        words, pool, fresh = self.words, self.pool, self.words.fresh
+        plain = sorted(w for w in fresh if not (self.kind == "bpe" and w.startswith(MARK * 2)))
+        # Runs of marks share one score, so that order decides: merged outright.
+        runs = (w for w in fresh if self.kind == "bpe" and w.startswith(MARK * 2))
+        marks = ((w, [i for p in self.merged(w) for i in self._ids(p)]) for w in runs)
+        more = len(fresh)
+        first, begin, size = len(words) - more, np.zeros(more, np.int64), np.zeros(more, np.int64)
+        for w, ids in chain(self.forward(plain), marks):
+            n = words[w] - first
+            begin[n], size[n] = len(pool), len(ids)
+            pool.extend(ids)
+        self.begin, self.size = np.concatenate([self.begin, begin]), np.concatenate([self.size, size])
+        self.uses = np.concatenate([self.uses, np.zeros(more, np.int64)])
+        self.held += sum(map(len, fresh))
+        fresh.clear()
+
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ends, ids): the ids of all texts, one behind another, and where those of each begin and end."""
+        self._tidy()
         split = [self.split.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.words) > WORDS or self.held > WORD_CHARS:
-            self.words.clear()
-            self.held = 0
-        new = {w for ws in split for w in ws}.difference(self.words)
-        self._learn(new)
-        self.held += sum(map(len, new))
-        words, out = self.words, []
-        for ws in split:
-            ids: list[int] = []
-            for w in ws:
-                ids += words[w]
-            out.append(ids)
-        return out
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        numbers = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int32, int(counts.sum()))
+        self._learn()
+        self.uses += np.bincount(numbers, minlength=len(self.uses))
+        size = self.size[numbers]
+        ids = np.frombuffer(self.pool, np.int32)[_runs(self.begin[numbers], size)]
+        till = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+        return till[np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])].astype(np.int32), ids
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ``ids``: marks become spaces, the leading one goes; bytes that are no text become U+FFFD."""
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        """The ids of each text; none for a null or empty one."""
+        ends, ids = self.encode_flat(texts)
+        return [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])]
+
+    def decode_flat(self, ends: np.ndarray, ids: np.ndarray) -> pa.Array:
+        """The texts of ids as :meth:`encode_flat` gives them."""
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), self.coded.take(pa.array(ids))), b"")
+        # Other pieces are whole characters, so bytes that are text by themselves are text between them, and the reverse.
+        # Only what stands for nothing could let two runs of bytes touch.
+        apart = self.bytes_of and np.isin(ids, list(self.special)).any()
         try:
-            return self._unmarked("".join([self.texts[i] for i in ids]))
-        except KeyError:
-            # Some are bytes.
-            pass
+            marked = None if apart else joined.cast(pa.string())
+        except pa.ArrowInvalid:
+            marked = None
+        if marked is None:
+            marked = pa.array([self._repaired(ids[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.string())
+        text = pc.replace_substring(marked, MARK, " ")
+        return pc.if_else(pc.starts_with(text, " "), pc.utf8_slice_codeunits(text, 1), text)
+
+    def _repaired(self, ids: np.ndarray) -> str:
+        """The marked text of ``ids``, each run of bytes decoded by itself with U+FFFD for what is no text."""
         out, run = [], bytearray()
-        for i in ids:
+        for i in ids.tolist():
             b = self.bytes_of.get(i)
             if b is not None:
                 run.append(b)
                 continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run.clear()
+            out.append(run.decode("utf-8", "replace"))
+            run.clear()
             if i not in self.special:
                 out.append(self.pieces[i])
-        if run:
-            out.append(run.decode("utf-8", "replace"))
-        return self._unmarked("".join(out))
+        return "".join(out) + run.decode("utf-8", "replace")
 
-    @staticmethod
-    def _unmarked(text: str) -> str:
-        text = text.replace(MARK, " ")
-        return text[1:] if text.startswith(" ") else text
+    def decode(self, ids: list[int]) -> str:
+        """The text of ``ids``: marks become spaces, the leading one goes; bytes that are no text become U+FFFD."""
+        return self.decode_flat(np.array([0, len(ids)], np.int32), np.array(ids, np.int32))[0].as_py()
 
 
 @lru_cache(maxsize=2)
@@ -276,16 +337,13 @@ def encode(df: DataFrame, *, keep: list[str], text_col: str = "text", model_path
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
             for s in chunks(texts, TOGETHER):
-                ids = pieces.encode(texts[s])
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                flat = np.fromiter((i for x in ids for i in x), np.int32, int(ends[-1]))
-                same = [pieces.decode(x) == (t or "") for x, t in zip(ids, texts[s])] if check else [None] * len(ids)
-                columns = [b.column(c).slice(s.start, s.stop - s.start) for c in range(b.num_columns - 1)]
-                columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(np.diff(ends).astype(np.int32)), pa.array(same, pa.bool_())]
+                ends, ids = pieces.encode_flat(texts[s])
+                *columns, text = [c.slice(s.start, s.stop - s.start) for c in b.columns]
+                same = pc.equal(pieces.decode_flat(ends, ids), pc.fill_null(text, "")) if check else pa.nulls(len(text), pa.bool_())
+                columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(np.diff(ends)), same]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "ids", "n_tokens", "round_trip"])
         # The worker lives on; what this task remembered need not.
-        pieces.words.clear()
-        pieces.held = 0
+        pieces.forget()
 
     return rows.mapInArrow(work, schema)
 
