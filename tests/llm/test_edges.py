@@ -54,13 +54,14 @@ def test_toxicity(docs, none, spark):
     assert {r.toxicity for r in toxicity.score(docs, untaught).collect()} == {0.0} and toxicity.score(none, untaught).count() == 0
 
 
-def test_licenses(docs, none):
-    got = licenses.license_scan(docs).collect()
+@pytest.mark.parametrize("blocks", ["lines", "windows"])
+def test_licenses(docs, none, blocks):
+    got = licenses.license_scan(docs, blocks=blocks).collect()
     assert len(got) == 10
     by_id = {r.doc_id: r for r in got if r.doc_id is not None}
     assert by_id[5].n_base == 5000 and by_id[5].first_word == 8 and by_id[5].last_word == 8 + 12 * 4999 and by_id[5].score == 1.0
     assert by_id[6].labels == "mit" == by_id[6].base_labels and by_id[2].n_words == 0 and by_id[2].labels == "" and by_id[2].first_word is None
-    assert len([r for r in got if r.doc_id is None]) == 2 and licenses.license_scan(none).count() == 0
+    assert len([r for r in got if r.doc_id is None]) == 2 and licenses.license_scan(none, blocks=blocks).count() == 0
 
 
 def test_neighbours(spark):

@@ -499,3 +499,45 @@ def test_quantisation_of_tiny_vectors():
     v = np.array([[5e-324, 0.0], [1e-310, -3e-311], [1e200, 1e-200]])
     codes, scale, near, off = neighbours.quantise(v)
     assert np.isfinite(near).all() and np.isfinite(off).all() and (off <= 1.01 * scale).all() and codes[0, 0] == 1
+
+
+def test_license_windows_by_brute_force(spark, sf_dir):
+    rng = random.Random(11)
+    grant = licenses.TEMPLATES[1][1]
+    wrapped = "# " + "\n# ".join(" ".join(grant.split()[n : n + 6]) for n in range(0, len(grant.split()), 6))
+    scattered = " ".join(w + " x" * 40 for w in "Released under the MIT License".split())
+    made = [wrapped, scattered, "word " * 3000 + wrapped + " word" * 3000, "", None, grant, "MIT " * 2000]
+    for label, t in licenses.TEMPLATES * 6:
+        ws = t.split()
+        for _ in range(rng.randrange(3)):
+            ws.pop(rng.randrange(len(ws)))
+        for _ in range(rng.randrange(4)):
+            ws.insert(rng.randrange(len(ws) + 1), rng.choice(["x", "\n", "the", "license"]))
+        made.append(" ".join([*rng.choices(["the", "of", "software", "a"], k=rng.randrange(9)), *ws, *rng.choices(["the", "and"], k=rng.randrange(9))]))
+    rows = [(n, t) for n, t in enumerate(made)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionAll(spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id + 1000", "text"))
+    want = {}
+    for r in docs.collect():
+        ws = re.findall(licenses.WORD, (r.text or "").lower())
+        best = {}
+        for label, t in licenses.TEMPLATES:
+            have, length = set(licenses.template_words(t)), licenses.window_length(t, licenses.THRESHOLD)
+            if len(have & set(ws)) < licenses.needed(len(have), licenses.THRESHOLD):
+                continue
+            top = max((len(have.intersection(ws[s : s + length])) for s in range(len(ws))), default=0)
+            if top >= licenses.needed(len(have), licenses.THRESHOLD):
+                best[label] = max(best.get(label, 0), top / len(have))
+        want[r.doc_id] = best
+    texts = docs.selectExpr("doc_id as record_id", "coalesce(text, '') as text", "xxhash64(text) as text_key")
+    got = {}
+    for r in licenses.similar_windows(texts).collect():
+        one = got.setdefault(r.record_id, {})
+        one[r.label] = max(one.get(r.label, 0), r.containment)
+    assert got == {k: v for k, v in want.items() if v}
+    assert "mit" in got[0] and 1 not in got and got[2] == got[0] and got[5] == {"mit": 1.0}
+    scan = {r.doc_id: r for r in licenses.license_scan(docs, blocks="windows").collect()}
+    assert len(scan) == docs.count()
+    for k, best in want.items():
+        r = scan[k]
+        assert set(filter(None, r.labels.split(","))) == set(filter(None, r.base_labels.split(","))) | set(best)
+        assert r.score == (1.0 if r.base_labels else max(best.values(), default=0.0))

@@ -1,6 +1,7 @@
 """License scans as an exact set-similarity join. DataFrame operations only.
 
-A text block is a line; it matches a template if it holds at least ``THRESHOLD`` of the template's distinct words.
+A text block is a line, or, for notices that are wrapped or stand within longer lines, any stretch of words that is about
+as long as the template, wherever lines end (``similar_windows``). It matches a template if it holds at least ``THRESHOLD`` of the template's distinct words.
 Template words are ordered by their frequency in the whole corpus, rarest first. A block that matches must hold one of a
 template's first ``size - need + 1`` words (prefix filter), must have at least ``need`` words (length filter), and from
 the first shared prefix word on both sides must still have ``need`` words left (positional filter). Blocks meet templates
@@ -45,6 +46,12 @@ def template_words(text: str) -> list[str]:
     return list(dict.fromkeys(cleaned.split()))
 
 
+def window_length(text: str, threshold: float) -> int:
+    """How many words a stretch may have that is held against a template: repeats count, and as many others may stand
+    between as may be missing."""
+    return ceil(len("".join(c if c.isalnum() else " " for c in text).split()) / threshold - 1e-9)
+
+
 def needed(size: int, threshold: float) -> int:
     """The least number of a template's ``size`` words that meets ``threshold``."""
     return max(1, ceil(threshold * size - 1e-9))
@@ -92,20 +99,57 @@ def ranked_vocabulary(texts: DataFrame, templates: list[list[str]]) -> list[str]
     return sorted(vocabulary, key=lambda w: (count.get(w, 0), w))
 
 
-def similar_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(record_id, text_key, line, label, containment): every line of ``text`` that holds ``threshold`` of a template."""
-    spark = docs.sparkSession
-    sets = [(label, template_words(t)) for label, t in templates]
-    order = {w: n for n, w in enumerate(ranked_vocabulary(docs, [t for _, t in sets]))}
+def _prefix_index(docs: DataFrame, templates, threshold: float) -> tuple[list[str], list[tuple]]:
+    """(words, index): template words, rarest first, and a row for each word of each template's prefix."""
+    sets = [(label, template_words(t), window_length(t, threshold)) for label, t in templates]
+    order = {w: n for n, w in enumerate(ranked_vocabulary(docs, [t for _, t, _ in sets]))}
     index = []
-    for n, (label, t) in enumerate(sets):
+    for n, (label, t, length) in enumerate(sets):
         ranked, need = sorted(t, key=order.__getitem__), needed(len(t), threshold)
         prefix = ranked[: len(t) - need + 1]
-        index += [(w, n, label, ranked, prefix, need, at) for at, w in enumerate(prefix)]
-    schema = "word string, template int, label string, ranked array<string>, prefix array<string>, need int, at int"
+        index += [(w, n, label, ranked, prefix, need, at, length) for at, w in enumerate(prefix)]
+    return sorted(order, key=order.__getitem__), index
+
+
+_INDEX = "word string, template int, label string, ranked array<string>, prefix array<string>, need int, at int, length int"
+
+
+def similar_windows(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(record_id, text_key, start, label, containment): stretches of :func:`window_length` words, line ends or not, that
+    hold ``threshold`` of a template's distinct words.
+
+    Such a stretch holds a word of the template's prefix. Around each place of one, the words within reach are taken along;
+    if too few of the template's are among them, no stretch there can match; else all that cover the place are compared
+    and the best, the first of equals, is returned. So work grows with the places of rare words, and rows have a bounded size.
+    """
+    _, index = _prefix_index(docs, templates, threshold)
+    prefixes = F.broadcast(docs.sparkSession.createDataFrame(index, _INDEX))
+    rare = F.array(*[F.lit(w) for w in sorted({row[0] for row in index})])
+    widest = max(row[7] for row in index)
+
+    def places(bound: Column) -> Column:
+        def here(w: Column, i: Column) -> Column:
+            low = F.greatest(i - (widest - 1), F.lit(0))
+            found = F.struct(w.alias("word"), i.alias("place"), low.alias("low"), F.slice(bound, low + 1, i - low + widest).alias("near"))
+            return F.when(F.array_contains(rare, w), found)
+
+        return F.array_compact(F.transform(bound, here))
+
+    met = docs.select("record_id", "text_key", F.explode(F.flatten(F.transform(F.array(words(F.col("text"))), places))).alias("p"))
+    met = met.select("record_id", "text_key", "p.*").join(prefixes, "word").filter(F.size(F.array_intersect("near", "ranked")) >= F.col("need"))
+    starts = F.sequence(F.greatest(F.col("place") - F.col("length") + 1, F.lit(0)), F.col("place"))
+    held = lambda s: F.size(F.array_intersect(F.slice("near", s - F.col("low") + 1, F.col("length")), F.col("ranked")))
+    best = F.array_max(F.transform(starts, lambda s: F.struct(held(s).alias("overlap"), (-s).alias("before"))))
+    met = met.withColumn("best", best).filter(F.col("best.overlap") >= F.col("need"))
+    return met.select("record_id", "text_key", (-F.col("best.before")).alias("start"), "label", (F.col("best.overlap") / F.size("ranked")).alias("containment"))
+
+
+def similar_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(record_id, text_key, line, label, containment): every line of ``text`` that holds ``threshold`` of a template."""
+    ordered, index = _prefix_index(docs, templates, threshold)
     # Its size is that of the templates.
-    prefixes = F.broadcast(spark.createDataFrame(index, schema))
-    vocabulary = F.array(*[F.lit(w) for w in sorted(order, key=order.__getitem__)])
+    prefixes = F.broadcast(docs.sparkSession.createDataFrame(index, _INDEX))
+    vocabulary = F.array(*[F.lit(w) for w in ordered])
     rare = F.array(*[F.lit(w) for w in sorted({row[0] for row in index})])
     least = min(row[5] for row in index)
     # The words are made inside the generator: a filter on them, pushed below a projection, would make them twice.
@@ -121,14 +165,17 @@ def similar_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRE
     return met.filter(overlap >= F.col("need")).select("record_id", "text_key", "line", "label", (overlap / F.size("ranked")).alias("containment"))
 
 
-def license_scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def license_scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD, blocks: str = "lines") -> DataFrame:
     """One row for each row of ``df``: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Base labels come from phrases, others from lines similar to templates. score is 1 for a base label, else the largest
+    Base labels come from phrases, others from ``blocks`` similar to templates: ``lines``, or ``windows`` of words over line
+    ends, which also find wrapped notices and do not take words scattered over a long line for one. score is 1 for a base label, else the largest
     containment, else 0. Null text counts as empty: no words, empty labels, null places. Rows that repeat in id and text
     give equal rows; rows that share an id but not the text are scored apart. Null ids are kept. No rows: none. Other
     columns are not carried.
     """
+    if blocks not in ("lines", "windows"):
+        raise ValueError(f"unknown blocks: {blocks}")
     docs = df.select(F.col(id_col).alias("record_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumn("text_key", F.xxhash64("text"))
     places, found = phrase_hits(F.col("text"))
@@ -139,7 +186,8 @@ def license_scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         places.alias("places"),
         found.alias("found"),
     )
-    matched = similar_blocks(docs, templates, threshold)
+    similar = similar_blocks if blocks == "lines" else similar_windows
+    matched = similar(docs, templates, threshold)
     matched = matched.groupBy("record_id", "text_key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     matched = matched.select(F.col("record_id").alias("m_id"), F.col("text_key").alias("m_key"), "more", "best")
     both = base.join(matched, F.col("record_id").eqNullSafe(F.col("m_id")) & (F.col("text_key") == F.col("m_key")), "left")
