@@ -541,3 +541,34 @@ def test_license_windows_by_brute_force(spark, sf_dir):
         r = scan[k]
         assert set(filter(None, r.labels.split(","))) == set(filter(None, r.base_labels.split(","))) | set(best)
         assert r.score == (1.0 if r.base_labels else max(best.values(), default=0.0))
+
+
+def test_neighbours_send_nothing_through_the_driver(spark):
+    """Queries that are repeated for many columns are not broadcast; copies, repeated ids and dimensions against brute force."""
+    rng = np.random.default_rng(5)
+    rows = [(int(i), rng.integers(-3, 4, 12 if i % 7 else 5).astype(float).tolist()) for i in range(1200)]
+    rows += [(i, rows[1][1]) for i in range(1200, 1500)] + rows[20:60:5] + [(100, rows[101][1])] * 25
+    rows = [(i, v) for i, v in rows if any(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    name = "spark.sql.maxBroadcastTableSize"
+    spark.conf.set(name, "8k")
+    try:
+        got = neighbours.nearest(df, F.col("vec_id") % 20 == 0, candidate_block=8, query_block=16).collect()
+    finally:
+        spark.conf.unset(name)
+    want = []
+    for q, v in rows:
+        if q % 20 == 0:
+            near = sorted((-float(np.dot(v, w)), i) for i, w in rows if i != q and len(w) == len(v))[:20]
+            want += [(q, n, i, -s) for n, (s, i) in enumerate(near, 1)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("size", [1.0, 1e-310, 1e-120, 1e90, 1e150])
+def test_bounds_of_tiles(size):
+    rng = np.random.default_rng(6)
+    for dim in (1, 3, 64, 1100):
+        q, c = rng.normal(size=(40, dim)) * size, rng.normal(size=(50, dim)) * size * 10.0 ** rng.integers(-3, 4, (50, 1))
+        c[:5] = q[:5]
+        upper, unit = neighbours._bounds(neighbours.quantise(q), neighbours.lengths(q), neighbours.quantise(c), neighbours.lengths(c))
+        assert (upper.astype("f8") * unit[:, None] >= q @ c.T).all()

@@ -1,11 +1,12 @@
 """Nearest neighbours by a block matrix join.
 
-Candidates and queries are packed into blocks of fixed size. Every query block meets every candidate block in an
-equi-join on the candidate block's number (query blocks are repeated, as there are fewer of them); each meeting is one
-tile. In a tile the vectors are quantised to int8; one matrix product of the codes approximates all inner products, and
-the lengths of the quantisation errors bound how far each is off (Cauchy-Schwarz). Pairs whose upper bound reaches the
-k-th largest lower bound survive and are computed again in double precision, so a tile's k best are exact. Tiles hand on
-k pairs a query; heaps merge them, at most ``FAN_IN`` tiles at a time.
+Queries are dealt into stripes and candidates into columns; each meeting of a stripe and a column is one cell, a task of its
+own. Rows reach their cells in one exchange (queries are repeated by column, candidates by stripe), so there is no join
+whose smaller side Spark could send through the driver. A cell holds its stripe and reads its column as it comes, tile by
+tile. In a tile the vectors are quantised to int8; one matrix product of the codes, with the lengths of the quantisation
+errors as two more columns, bounds all inner products from above (Cauchy-Schwarz). Pairs whose bound reaches the query's
+k-th best score so far are computed again in double precision, so a cell's k best are exact. Cells hand on k pairs a
+query; heaps merge them.
 """
 
 from __future__ import annotations
@@ -16,17 +17,18 @@ from itertools import islice
 from math import ceil
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinframe.llm.common import materialise
 
-#: Rows of a block. A tile works through its candidates STEP rows at a time.
-CANDIDATE_BLOCK, QUERY_BLOCK, STEP = 16384, 1024, 2048
-FAN_IN = 32
+#: Rows of a column at least, of a stripe at most, and of a stripe's vectors in bytes; a tile is PART queries by STEP candidates.
+CANDIDATE_BLOCK, QUERY_BLOCK, STRIPE_BYTES, PART, STEP = 4096, 131072, 64 << 20, 1024, 2048
+#: Columns that are enough, if these or the stripes give each core two cells.
+COLUMNS = 12
+#: Pairs that are computed again at once; pairs of a part that wait to be sorted in.
+PAIRS, WAITING = 32768, 16384
 #: Relative slack for the rounding of the bounds themselves.
 SLACK = 1e-6
 
@@ -53,70 +55,138 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(kind) @ b.astype(kind).T
 
 
-def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
-    """For each query its k best (-score, id) in this block of candidates, best first; ids equal to the query's are left out."""
-    q_codes, q_scale, q_near, q_off = quantise(q)
-    q_len = lengths(q)
-    best: list[list[tuple[float, int]]] = [[] for _ in q_ids]
-    floor = np.full(len(q_ids), -np.inf)
-    for at in range(0, len(c_ids), STEP):
-        ids, block = c_ids[at : at + STEP], c[at : at + STEP]
-        codes, scale, near, off = quantise(block)
-        about = _product(q_codes, codes) * (q_scale[:, None] * scale)
-        length = lengths(block)
-        wide = q_near[:, None] * off + q_off[:, None] * length + SLACK * q_len[:, None] * length
-        own = q_ids[:, None] == ids
-        lower = np.where(own, -np.inf, about - wide)
-        if lower.shape[1] > k:
-            floor = np.maximum(floor, np.partition(lower, -k, axis=1)[:, -k])
-        rows, cols = np.nonzero((about + wide >= floor[:, None]) & ~own)
-        exact = np.einsum("ij,ij->i", q[rows], block[cols])
-        edges = np.searchsorted(rows, np.arange(len(q_ids) + 1))
-        for i in np.flatnonzero(np.diff(edges)):
-            s = slice(edges[i], edges[i + 1])
-            best[i] = heapq.nsmallest(k, [*best[i], *zip((-exact[s]).tolist(), ids[cols[s]].tolist())])
-            if len(best[i]) == k:
-                floor[i] = max(floor[i], -best[i][-1][0])
-    return best
-
-
-def _packed(df: DataFrame, parts: int, kind: str) -> DataFrame:
-    """Blocks of ``df`` (id, vector): one for each of ``parts`` equal partitions and dimension."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, ids, rows = TaskContext.get().partitionId(), {}, {}
-        for b in batches:
-            size = np.diff(b.column(1).offsets.to_numpy())
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind)
-            ends = np.cumsum(size)
-            own = b.column(0).to_numpy(zero_copy_only=False)
-            for dim in np.unique(size):
-                take = np.flatnonzero(size == dim)
-                ids.setdefault(int(dim), []).append(own[take])
-                rows.setdefault(int(dim), []).append(flat[(ends[take] - dim)[:, None] + np.arange(dim)])
-        for dim in sorted(ids):
-            yield pa.RecordBatch.from_pydict(
-                {"block": [number], "dim": [dim], "ids": [np.concatenate(ids[dim]).astype("<i8").tobytes()], "vectors": [np.concatenate(rows[dim]).tobytes()]},
-                pa.schema([("block", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())]),
-            )
-
-    return df.repartition(parts).mapInArrow(pack, "block int, dim int, ids binary, vectors binary")
-
-
-_TOP = "q int, dim int, c int, top array<struct<query_id: bigint, ids: array<bigint>, scores: array<double>>>"
+def _bounds(q: tuple, q_len: np.ndarray, c: tuple, c_len: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(upper, unit): ``upper * unit[:, None]`` is at least each inner product. q and c: from ``quantise``."""
+    (q_codes, q_scale, q_near, q_off), (codes, scale, near, off) = q, c
+    dim, most = codes.shape[1], scale.max()
+    tame = dim <= 1040 and 1e-100 < q_scale.min() and q_scale.max() < 1e100 and 1e-100 < scale.min() and most < 1e100 and most < 1e25 * scale.min()
+    if not tame:
+        with np.errstate(over="ignore", invalid="ignore"):
+            wide = q_near[:, None] * off + q_off[:, None] * c_len + SLACK * q_len[:, None] * c_len
+            upper = _product(q_codes, codes) * (q_scale[:, None] * scale) + wide
+        return np.where(np.isnan(upper), np.inf, upper), np.ones(len(q_scale))
+    # Rounding to floats: each of dim + 2 terms is off by 2**-24 of at most (|q| + its error) * (|c| + its error).
+    more = (SLACK + 8 * (dim + 8) * 2.0**-24) * (q_len + q_off)
+    left = np.column_stack([q_codes, (q_near + more) / q_scale, (q_off + more) / q_scale]).astype(np.float32)
+    right = np.column_stack([codes * (scale / most)[:, None], off / most, c_len / most]).astype(np.float32)
+    return left @ right.T, q_scale * most
+
+
+def _exact(q: np.ndarray, rows: np.ndarray, c: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """The inner products of these pairs in double precision."""
+    found = [np.einsum("ij,ij->i", q[rows[s : s + PAIRS]].astype("f8"), c[cols[s : s + PAIRS]]) for s in range(0, len(rows), PAIRS)]
+    return np.concatenate(found) if found else np.zeros(0)
+
+
+class Part:
+    """Queries of one dimension and their k best so far: ``ids`` and ``scores``, best first, as many as ``found`` has."""
+
+    def __init__(self, q_ids: np.ndarray, q: np.ndarray, k: int):
+        self.q_ids, self.q, self.k = q_ids, q, k
+        self.ids, self.scores = np.zeros((len(q_ids), k), "i8"), np.zeros((len(q_ids), k))
+        self.found, self.floor = np.zeros(len(q_ids), "i4"), np.full(len(q_ids), -np.inf)
+        self.codes, self.len = quantise(q.astype("f8")), lengths(q.astype("f8"))
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def meet(self, ids: np.ndarray, c: np.ndarray, codes: tuple, c_len: np.ndarray) -> None:
+        """A tile: candidates ``c`` in double precision, what ``quantise`` gives of them, and their lengths."""
+        upper, unit = _bounds(self.codes, self.len, codes, c_len)
+        fresh = np.flatnonzero(self.floor == -np.inf)
+        if len(fresh) and len(ids) > self.k:  # any k pairs give a floor; those of the highest bounds a good one
+            high = np.where(self.q_ids[fresh, None] == ids, -np.inf, upper[fresh])
+            cols = np.argpartition(high, -self.k, axis=1)[:, -self.k :]
+            least = _exact(self.q, np.repeat(fresh, self.k), c, cols.ravel()).reshape(cols.shape).min(axis=1)
+            own = (self.q_ids[fresh, None] == ids[cols]).any(axis=1)
+            self.floor[fresh] = np.where(own | np.isnan(least), -np.inf, least)
+        with np.errstate(over="ignore"):
+            floor = np.nextafter((self.floor / unit).astype(upper.dtype), upper.dtype.type(-np.inf))
+        rows, cols = np.divmod(np.flatnonzero(upper >= floor[:, None]), len(ids))
+        other = self.q_ids[rows] != ids[cols]
+        rows, cols = rows[other], cols[other]
+        for s in range(0, len(rows), WAITING):
+            r, at = rows[s : s + WAITING], cols[s : s + WAITING]
+            scores = _exact(self.q, r, c, at)
+            keep = ~(scores < self.floor[r])
+            self.waiting.append((r[keep], ids[at[keep]], scores[keep]))
+            if sum(len(w[0]) for w in self.waiting) >= WAITING:
+                self.sort_in()
+
+    def sort_in(self) -> None:
+        """What waits is merged with the k best."""
+        if not self.waiting:
+            return
+        held = np.arange(self.k) < self.found[:, None]
+        rows = np.concatenate([np.nonzero(held)[0], *[w[0] for w in self.waiting]])
+        ids = np.concatenate([self.ids[held], *[w[1] for w in self.waiting]])
+        scores = np.concatenate([self.scores[held], *[w[2] for w in self.waiting]])
+        order = np.lexsort((ids, -scores, rows))
+        rows = rows[order]
+        n = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        rows, n, order = rows[n < self.k], n[n < self.k], order[n < self.k]
+        self.ids[rows, n], self.scores[rows, n] = ids[order], scores[order]
+        self.found = np.bincount(rows, minlength=len(self.q_ids)).astype("i4")
+        full = self.found == self.k
+        last = self.scores[full, -1]
+        self.floor[full] = np.maximum(self.floor[full], np.where(np.isnan(last), -np.inf, last))
+        self.waiting = []
+
+
+def _by_dimension(b: pa.RecordBatch, kind: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dimension, ids, vectors) of a batch's columns id and vector."""
+    size = np.diff(b.column("vector").offsets.to_numpy())
+    flat, ends = b.column("vector").flatten().to_numpy(zero_copy_only=False).astype(kind), np.cumsum(size)
+    own = b.column("id").to_numpy(zero_copy_only=False)
+    for dim in np.unique(size):
+        take = np.flatnonzero(size == dim)
+        yield int(dim), own[take], flat[(ends[take] - dim)[:, None] + np.arange(dim)]
+
+
+_BEST = {"stripe": pa.int32(), "dim": pa.int32(), "part": pa.int32(), "query_ids": pa.binary(), "found": pa.binary(), "ids": pa.binary(), "scores": pa.binary()}
+
+
+class Cell:
+    """A stripe of queries that meets candidates as they come; all its queries come first, in the same order in each column."""
+
+    def __init__(self, stripe: int, k: int, kind: str):
+        self.stripe, self.k, self.kind, self.parts = stripe, k, kind, None
+        self.queries: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def ask(self, b: pa.RecordBatch) -> None:
+        for dim, ids, vectors in _by_dimension(b, self.kind):
+            self.queries.setdefault(dim, []).append((ids, vectors))
+
+    def meet(self, b: pa.RecordBatch) -> None:
+        if self.parts is None:
+            self.parts = {}
+            for dim in sorted(self.queries):
+                ids, vectors = map(np.concatenate, zip(*self.queries.pop(dim)))
+                self.parts[dim] = [Part(ids[s : s + PART], vectors[s : s + PART], self.k) for s in range(0, len(ids), PART)]
+        for dim, ids, vectors in _by_dimension(b, "f8"):
+            for s in range(0, len(ids) if dim in self.parts else 0, STEP):
+                c = vectors[s : s + STEP]
+                codes, c_len = quantise(c), lengths(c)
+                for part in self.parts[dim]:
+                    part.meet(ids[s : s + STEP], c, codes, c_len)
+
+    def best(self) -> Iterator[pa.RecordBatch]:
+        for dim, parts in (self.parts or {}).items():
+            for n, part in enumerate(parts):
+                part.sort_in()
+                row = [self.stripe, dim, n, *[x.tobytes() for x in (part.q_ids, part.found, part.ids, part.scores)]]
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _BEST.values())], names=list(_BEST))
 
 
 def _merge(k: int):
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        lists: dict[int, list] = {}
-        for top in group["top"]:
-            for n, entry in enumerate(top):
-                lists.setdefault(n, [entry["query_id"]]).append([(-s, i) for s, i in zip(entry["scores"], entry["ids"])])
-        out = []
-        for own, *found in (lists[n] for n in sorted(lists)):
-            kept = list(islice(heapq.merge(*found), k))
-            out.append({"query_id": own, "ids": [i for _, i in kept], "scores": [-s for s, _ in kept]})
-        return pd.DataFrame({"q": [group["q"].iloc[0]], "dim": [group["dim"].iloc[0]], "c": [group["c"].iloc[0]], "top": [out]})
+    def merge(group: pa.Table) -> pa.Table:
+        read = lambda name, kind: [np.frombuffer(x, kind) for x in group.column(name).to_pylist()]
+        q_ids = read("query_ids", "i8")[0]
+        cells = list(zip(read("found", "i4"), [x.reshape(-1, k) for x in read("ids", "i8")], [-x.reshape(-1, k) for x in read("scores", "f8")]))
+        out: list[tuple[int, int, int, float]] = []
+        for n, own in enumerate(q_ids.tolist()):
+            found = [zip(scores[n, : many[n]].tolist(), ids[n, : many[n]].tolist()) for many, ids, scores in cells]
+            out.extend((own, rank, i, -s) for rank, (s, i) in enumerate(islice(heapq.merge(*found), k), 1))
+        kinds = {"query_id": pa.int64(), "rank": pa.int32(), "vec_id": pa.int64(), "score": pa.float64()}
+        return pa.table({name: pa.array([o[n] for o in out], t) for n, (name, t) in enumerate(kinds.items())})
 
     return merge
 
@@ -127,42 +197,51 @@ def nearest(df: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id", vec
     Nearest: largest inner product in double precision, ties to the smaller id; all candidates if fewer than k. Rows with
     a null id, and vectors that are null, empty, zero or hold null or non-finite components, take no part. Vectors only
     meet those of their own dimension. A row whose id equals the query's is the query's own. Rows that repeat an id
-    appear as often as they are. No rows or no queries: none. Other columns are not used.
+    appear as often as they are. No rows or no queries: none. Other columns are not used. A column has
+    ``candidate_block`` candidates or more, a stripe about ``query_block`` queries or fewer.
     """
     kind = "f4" if "float" in dict(df.dtypes)[vector_col] else "f8"
     v = F.col(vector_col)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = df.filter(F.col(id_col).isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
     rows = rows.select(F.col(id_col).cast("long").alias("id"), v.alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    n, asked = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("asks").cast("long")), F.lit(0))).first()
-    blocks, turns = max(1, ceil(n / candidate_block)), max(1, ceil(asked / query_block))
-    held = materialise(_packed(rows.select("id", "vector"), blocks, kind), "knn-candidates")
-    asking = materialise(_packed(rows.filter("asks").select("id", "vector"), turns, kind), "knn-queries")
-    asking = asking.select(F.col("block").alias("q"), "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    tiles = held.join(asking, ["block", "dim"])
+    n, asked, dim = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("asks").cast("long")), F.lit(0)), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+    stripes = max(1, ceil(asked / max(1, min(query_block, STRIPE_BYTES // (8 * dim)))))
+    enough = max(COLUMNS, ceil(2 * df.sparkSession.sparkContext.defaultParallelism / stripes))
+    columns = max(1, min(ceil(n / candidate_block), enough))
+    # Numbers are written, so that a query has the same one in every column.
+    asking = materialise(rows.filter("asks").select(F.monotonically_increasing_id().alias("number"), "id", "vector"), "knn-queries")
+    every = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+    asking = asking.select("*", F.pmod(F.xxhash64("number"), F.lit(stripes)).cast("int").alias("stripe")).select("*", every(columns).alias("column"))
+    held = rows.select(F.lit(None).cast("long").alias("number"), "id", "vector", F.pmod(F.xxhash64("id", "vector"), F.lit(columns)).cast("int").alias("column")).select("*", every(stripes).alias("stripe"))
+    cells = asking.unionByName(held).select((F.col("stripe") * columns + F.col("column")).alias("cell"), "number", "id", "vector")
+    cells = cells.repartitionById(stripes * columns, "cell").sortWithinPartitions("cell", F.col("number").asc_nulls_last())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at = None, None
         for b in batches:
-            for r in range(b.num_rows):
-                x = {name: b.column(name)[r].as_py() for name in b.schema.names}
-                get = lambda ids, vectors: (np.frombuffer(x[ids], "<i8"), np.frombuffer(x[vectors], kind).reshape(-1, x["dim"]).astype("f8"))
-                q_ids, q = get("q_ids", "q_vectors")
-                found = tile(q_ids, q, *get("ids", "vectors"), k)
-                top = [{"query_id": int(i), "ids": [j for _, j in f], "scores": [-s for s, _ in f]} for i, f in zip(q_ids, found)]
-                shape = pa.struct([("query_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x["q"]], pa.int32()), pa.array([x["dim"]], pa.int32()), pa.array([x["block"]], pa.int32()), pa.array([top], pa.list_(shape))],
-                    names=["q", "dim", "c", "top"],
-                )
-
-    top, left = tiles.mapInArrow(work, _TOP), blocks
-    while True:
-        top = top.withColumn("c", F.expr(f"c div {FAN_IN}").cast("int")).groupBy("q", "dim", "c").applyInPandas(_merge(k), _TOP)
-        left = ceil(left / FAN_IN)
-        if left <= 1:
-            break
-    each = top.select(F.explode("top").alias("t")).select("t.query_id", F.posexplode(F.arrays_zip("t.ids", "t.scores")).alias("n", "pair"))
-    return each.select("query_id", (F.col("n") + 1).cast("int").alias("rank"), F.col("pair.ids").alias("vec_id"), F.col("pair.scores").alias("score"))
+            own = b.column("cell").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+            for start, end in zip(edges, edges[1:]):
+                if start == end:
+                    continue
+                if own[start] != at:
+                    if now is not None:
+                        yield from now.best()
+                    at = own[start]
+                    now = Cell(int(at) // columns, k, kind)
+                some = b.slice(start, end - start)
+                asks = len(some) - some.column("number").null_count
+                if asks:
+                    now.ask(some.slice(0, asks))
+                if asks < len(some):
+                    now.meet(some.slice(asks))
+        if now is not None:
+            yield from now.best()
+
+    names = {pa.int32(): "int", pa.binary(): "binary"}
+    best = cells.mapInArrow(work, ", ".join(f"{name} {names[t]}" for name, t in _BEST.items()))
+    return best.groupBy("stripe", "dim", "part").applyInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
 
 
 def op4_block_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
