@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from twinframe.llm.common import materialise
 
 #: Rows of a column at least, of a stripe at most, and of a stripe's vectors in bytes; a tile is PART queries by STEP candidates.
-CANDIDATE_BLOCK, QUERY_BLOCK, STRIPE_BYTES, PART, STEP = 4096, 131072, 64 << 20, 1024, 2048
+CANDIDATE_BLOCK, QUERY_BLOCK, STRIPE_BYTES, PART, STEP = 4096, 262144, 64 << 20, 1024, 2048
 #: Columns that are enough, if these or the stripes give each core two cells.
 COLUMNS = 12
 #: Pairs that are computed again at once; pairs of a part that wait to be sorted in.
@@ -206,12 +206,12 @@ def nearest(df: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id", vec
     rows = df.filter(F.col(id_col).isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
     rows = rows.select(F.col(id_col).cast("long").alias("id"), v.alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     n, asked, dim = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("asks").cast("long")), F.lit(0)), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
-    stripes = max(1, ceil(asked / max(1, min(query_block, STRIPE_BYTES // (8 * dim)))))
+    stripes = max(1, ceil(asked / max(1, min(query_block, STRIPE_BYTES // (np.dtype(kind).itemsize * dim)))))
     enough = max(COLUMNS, ceil(2 * df.sparkSession.sparkContext.defaultParallelism / stripes))
     columns = max(1, min(ceil(n / candidate_block), enough))
     # Numbers are written, so that a query has the same one in every column.
     asking = materialise(rows.filter("asks").select(F.monotonically_increasing_id().alias("number"), "id", "vector"), "knn-queries")
-    every = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+    every = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1))) if many > 1 else F.lit(0)
     asking = asking.select("*", F.pmod(F.xxhash64("number"), F.lit(stripes)).cast("int").alias("stripe")).select("*", every(columns).alias("column"))
     held = rows.select(F.lit(None).cast("long").alias("number"), "id", "vector", F.pmod(F.xxhash64("id", "vector"), F.lit(columns)).cast("int").alias("column")).select("*", every(stripes).alias("stripe"))
     cells = asking.unionByName(held).select((F.col("stripe") * columns + F.col("column")).alias("cell"), "number", "id", "vector")
